@@ -40,5 +40,7 @@ def load_all() -> dict[str, Entry]:
         bar_queries,
         price_queries,
         news_queries,
+        merge_queries,
+        evaluation_queries,
     )
     return ENTRIES
