@@ -11,16 +11,22 @@ FALSE_WORDS = ("false", "0", "no")
 
 CONTROL = r"[\x00-\x1F\x7F]"
 SPACE = r"\s+"
+BLANKS = " \t\n\r\x0b\x0c"
 
 
 def clean_text(c: Column) -> Column:
-    """Trimmed text with single spaces; blank becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(c, SPACE, " ")), F.lit(""))
+    """Trimmed text; blank becomes null."""
+    return F.nullif(F.btrim(c, F.lit(BLANKS)), F.lit(""))
+
+
+def collapse(c: Column) -> Column:
+    """Trimmed text with single spaces inside."""
+    return F.btrim(F.regexp_replace(c, SPACE, " "), F.lit(BLANKS))
 
 
 def match_text(c: Column) -> Column:
-    """Lower-cased clean text for comparisons; null becomes empty."""
-    return F.coalesce(F.lower(clean_text(c)), F.lit(""))
+    """Lower-cased collapsed text for comparisons; null becomes empty."""
+    return F.coalesce(F.lower(collapse(c)), F.lit(""))
 
 
 def safe_text(c: Column) -> Column:

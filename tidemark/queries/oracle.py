@@ -16,11 +16,10 @@ def sql(body: str) -> str:
     """Prefix `body` with every CTE it needs, in dependency order."""
     ordered: list[str] = []
 
-    def need(text: str) -> None:
+    def need(text: str, inside: tuple[str, ...] = ()) -> None:
         for name in CTES:
-            if name not in ordered and re.search(rf"\b{name}\b", text):
-                # A CTE may only use names registered before it.
-                need(CTES[name])
+            if name not in ordered and name not in inside and re.search(rf"\b{name}\b", text):
+                need(CTES[name], (*inside, name))
                 ordered.append(name)
 
     need(body)

@@ -42,5 +42,6 @@ def load_all() -> dict[str, Entry]:
         news_queries,
         merge_queries,
         evaluation_queries,
+        ingest_queries,
     )
     return ENTRIES
