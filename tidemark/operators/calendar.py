@@ -51,7 +51,7 @@ def build_calendar(
     closed = fixed_closures(spark, market, start, end)
     if closures is not None and "exchange" not in closures.columns:
         closed = closed.unionByName(closures.select("date"))
-    closed = closed.distinct().crossJoin(spark.createDataFrame([(e,) for e in exchanges], "exchange string"))
+    closed = closed.distinct().withColumn("exchange", F.explode(F.array(*[F.lit(e) for e in exchanges])))
     if closures is not None and "exchange" in closures.columns:
         closed = closed.unionByName(closures.select("date", "exchange"))
     closed = closed.distinct().withColumn("closed", F.lit(True))

@@ -43,5 +43,6 @@ def load_all() -> dict[str, Entry]:
         merge_queries,
         evaluation_queries,
         ingest_queries,
+        scoring_queries,
     )
     return ENTRIES
