@@ -1 +1 @@
-
+"""Stage compositions: features, training, evaluation, prediction, review."""

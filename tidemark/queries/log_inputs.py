@@ -10,7 +10,7 @@ from tidemark.queries.oracle import cte
 from tidemark.sources import prediction_log as L
 
 GRADES = ("A", "B", "C", "D", "E", "F")
-START, END = "2001-10-01", "2001-10-26"
+START, END = "2001-09-27", "2001-11-02"
 
 
 def events(spark, sf) -> DataFrame:
@@ -82,7 +82,7 @@ def log(spark, sf) -> DataFrame:
 
 
 cte("log_events", """
-SELECT event_id, user_id, event_type, value, ts - to_days(8127) AS at, CAST(ts - to_days(8127) + INTERVAL 330 MINUTE AS DATE) AS day,
+SELECT event_id, user_id, event_type, value, ts - to_days(8127) AS run_ts, CAST(ts - to_days(8127) + INTERVAL 330 MINUTE AS DATE) AS day,
        CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(round(value * 100) AS BIGINT) AS v FROM events""")
 cte("log_placed", """
 SELECT e.*, 'NSE' AS exchange, 'N' || (user_id % 25) AS ticker, CASE WHEN event_id % 2 = 0 THEN 'pre_market' ELSE 'after_close' END AS prediction_mode,
@@ -97,7 +97,7 @@ SELECT *, CASE WHEN status <> 'failure' THEN (v % 100) / 100.0::DOUBLE END AS b,
   CASE WHEN status IN ('success', 'abstain') THEN ((k * 37) % 100) / 100.0::DOUBLE END AS n,
   ticker || '|' || exchange || '|' || prediction_mode || '|' || prediction_date AS prediction_key FROM log_placed""")
 cte("plog", """
-SELECT *, prediction_key || '|' || event_id AS pilot_entry_id, CASE WHEN event_id % 41 <> 0 THEN at END AS pilot_timestamp_utc,
+SELECT *, prediction_key || '|' || event_id AS pilot_entry_id, CASE WHEN event_id % 41 <> 0 THEN run_ts END AS pilot_timestamp_utc,
   CASE WHEN event_id % 53 <> 0 THEN historical_cutoff_date END AS historical_date,
   CAST(b >= 0.5 AS INTEGER) AS b_dir, CAST(n >= 0.5 AS INTEGER) AS n_dir, (b + n) / 2 AS x, CAST((b + n) / 2 >= 0.5 AS INTEGER) AS x_dir,
   CASE status WHEN 'abstain' THEN 'abstain' WHEN 'success' THEN CASE WHEN (b + n) / 2 >= 0.5 THEN 'up' ELSE 'down' END END AS selected_action,

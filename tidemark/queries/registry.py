@@ -44,5 +44,7 @@ def load_all() -> dict[str, Entry]:
         evaluation_queries,
         ingest_queries,
         scoring_queries,
+        window_queries,
+        log_queries,
     )
     return ENTRIES

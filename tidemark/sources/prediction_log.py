@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _S, _I, _D, _B, _DT, _TS = "string", "int", "double", "boolean", "date", "timestamp"
 _PROBABILITIES = ("raw_predicted_probability_up", "calibrated_predicted_probability_up", "predicted_probability_up")
@@ -47,7 +46,7 @@ LOG_COLUMNS: tuple[tuple[str, str], ...] = (
     ("enhanced_correct", _B), ("blended_correct", _B), ("news_quality_note", _S), ("market_shock_note", _S),
     ("source_outage_note", _S), ("manual_notes_updated_at_utc", _TS),
 )
-LOG_SCHEMA = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in LOG_COLUMNS))
+LOG_DDL = ", ".join(f"{n} {t}" for n, t in LOG_COLUMNS)
 
 
 def conform(rows: DataFrame) -> DataFrame:
@@ -68,8 +67,7 @@ def write_append(rows: DataFrame, path: str) -> None:
 
 
 def read_log(spark, path: str) -> DataFrame:
-    schema = T.StructType([*LOG_SCHEMA.fields, T.StructField("prediction_month", T.StringType())])
-    return conform(spark.read.schema(schema).parquet(path))
+    return conform(spark.read.schema(f"{LOG_DDL}, prediction_month string").parquet(path))
 
 
 def rewrite_months(updated: DataFrame, path: str) -> None:

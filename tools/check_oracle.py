@@ -123,7 +123,7 @@ def main() -> None:
         except Exception:
             bad.append(n)
             print("ERROR", n)
-            print("\n".join(traceback.format_exc().splitlines()[-25:])[:3000])
+            print("\n".join(traceback.format_exc().splitlines()[-4:])[:900])
         sys.stdout.flush()
     print(f"{len(names) - len(bad)}/{len(names)} passed; failing: {bad}")
 
