@@ -46,5 +46,6 @@ def load_all() -> dict[str, Entry]:
         scoring_queries,
         window_queries,
         log_queries,
+        model_queries,
     )
     return ENTRIES
