@@ -30,7 +30,19 @@ def normalize_provider_columns(raw: DataFrame) -> DataFrame:
 
 def _number(name: str, columns) -> Column:
     value = F.col(name).try_cast("double") if name in columns else F.lit(None).cast("double")
-    return F.when(F.isnan(value), None).otherwise(value)
+    return F.nanvl(value, F.lit(None).cast("double"))
+
+
+def _crossed() -> Column:
+    return (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))
+
+
+def is_valid_bar() -> Column:
+    """The same verdict as an empty reason list, without building the list."""
+    present = F.col("date").isNotNull() & F.col("volume").isNotNull() & (F.col("volume") >= 0)
+    for c in PRICES:
+        present = present & F.col(c).isNotNull()
+    return F.coalesce(present & ~_crossed(), F.lit(False))
 
 
 def bar_reasons(raw: DataFrame) -> DataFrame:
@@ -39,17 +51,21 @@ def bar_reasons(raw: DataFrame) -> DataFrame:
     The high/low rule is judged only when nothing else is wrong with the row.
     """
     cols = raw.columns
+    day = F.when(F.length("date") == 10, F.col("date").try_cast("date")).otherwise(
+        F.col("date").try_cast("timestamp").cast("date")) if dict(raw.dtypes)["date"] == "string" else F.col("date").cast("date")
     typed = raw.withColumns({
-        "date": F.col("date").try_cast("timestamp").cast("date"),
+        "date": day,
         **{c: _number(c, cols) for c in (*PRICES, "volume", "adj_close")},
+        # A column Catalyst cannot substitute: filters on the result stay above this step,
+        # instead of repeating the parsing of every field for every mention of it.
+        "_parsed": F.spark_partition_id(),
     })
     basic = F.array_compact(F.array(
         F.when(F.col("date").isNull(), "invalid_date"),
         *[F.when(F.col(c).isNull(), f"invalid_{c}") for c in PRICES],
         F.when(F.col("volume").isNull() | (F.col("volume") < 0), "invalid_volume"),
     ))
-    crossed = (F.col("high") < F.greatest("open", "close", "low")) | (
-        F.col("low") > F.least("open", "close", "high"))
+    crossed = _crossed()
     return typed.withColumn("_basic", basic).withColumn(
         "reasons",
         F.when((F.size("_basic") == 0) & crossed, F.array(F.lit("invalid_high_low_relationship")))
@@ -59,7 +75,9 @@ def bar_reasons(raw: DataFrame) -> DataFrame:
 
 def split_quarantine(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantined rows with reasons)."""
-    return judged.where(F.size("reasons") == 0).drop("reasons"), judged.where(F.size("reasons") > 0)
+    parsed = F.col("_parsed") >= 0
+    return (judged.where(is_valid_bar() & parsed).drop("reasons", "_parsed"),
+            judged.where(~is_valid_bar() & parsed).drop("_parsed"))
 
 
 def dedupe_bars(bars: DataFrame, order: str = "source_row_number") -> DataFrame:

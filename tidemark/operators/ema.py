@@ -25,37 +25,32 @@ def with_ema(df: DataFrame, specs: dict[str, tuple[str, float, int]],
     inputs = sorted({source for source, _, _ in specs.values()})
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     seen = {f"_n_{c}": F.count(c).over(running) for c in inputs}
-    numbered = df.withColumns(seen).withColumns(
-        {f"_b_{c}": F.floor((F.col(f"_n_{c}") - 1) / BLOCK) for c in inputs})
+    numbered = df.withColumns({**seen, "_row": F.row_number().over(w) - 1})
+    numbered = numbered.withColumns({
+        "_block": F.floor(F.col("_row") / BLOCK), "_pos": F.pmod("_row", F.lit(BLOCK)).cast("double")})
 
+    # The blocks are shared by all series, so they cost one local sort together.
+    block = Window.partitionBy(*partition, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = {}
     for name, (source, alpha, _) in specs.items():
-        q = 1.0 - alpha
-        pos = F.pmod(F.col(f"_n_{source}") - 1, F.lit(BLOCK)).cast("double")
         gain = F.when(F.col(f"_n_{source}") == 1, 1.0).otherwise(alpha)
-        block = Window.partitionBy(*partition, f"_b_{source}").orderBy(order).rowsBetween(
-            Window.unboundedPreceding, 0)
-        scaled = F.sum(F.col(source) * gain * F.pow(F.lit(q), -pos)).over(block)
-        local[f"_l_{name}"] = F.pow(F.lit(q), pos) * scaled
+        scaled = F.col(source) * gain * F.pow(F.lit(1.0 - alpha), -F.col("_pos"))
+        local[f"_l_{name}"] = F.pow(F.lit(1.0 - alpha), F.col("_pos")) * F.coalesce(F.sum(scaled).over(block), F.lit(0.0))
     partial = numbered.withColumns(local)
 
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    is_end = F.col("_pos") == BLOCK - 1
     ends = {}
-    for name, (source, alpha, _) in specs.items():
-        is_end = F.col(f"_n_{source}").isNotNull() & (F.pmod(F.col(f"_n_{source}"), F.lit(BLOCK)) == 0)
+    for name, (_, alpha, _) in specs.items():
         closed = F.collect_list(F.when(is_end, F.col(f"_l_{name}"))).over(earlier)
-        ends[f"_c_{name}"] = F.aggregate(
-            closed, F.lit(0.0), _chain((1.0 - alpha) ** BLOCK))
+        ends[f"_c_{name}"] = F.aggregate(closed, F.lit(0.0), _chain((1.0 - alpha) ** BLOCK))
     chained = partial.withColumns(ends)
 
     result = {}
     for name, (source, alpha, minimum) in specs.items():
-        n = F.col(f"_n_{source}")
-        pos = F.pmod(n - 1, F.lit(BLOCK)).cast("double")
-        value = F.col(f"_l_{name}") + F.pow(F.lit(1.0 - alpha), pos + 1) * F.col(f"_c_{name}")
-        result[name] = F.when((n >= minimum) & F.col(source).isNotNull(), value)
-    scratch = [*seen, *[f"_b_{c}" for c in inputs], *local, *ends]
-    return chained.withColumns(result).drop(*scratch)
+        value = F.col(f"_l_{name}") + F.pow(F.lit(1.0 - alpha), F.col("_pos") + 1) * F.col(f"_c_{name}")
+        result[name] = F.when((F.col(f"_n_{source}") >= minimum) & F.col(source).isNotNull(), value)
+    return chained.withColumns(result).drop("_row", "_block", "_pos", *seen, *local, *ends)
 
 
 def _chain(q_block: float):

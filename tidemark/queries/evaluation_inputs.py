@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.merge import MERGE_KEYS
 from tidemark.operators.price_features import LABEL
 from tidemark.queries import inputs as I
 from tidemark.queries.oracle import cte
@@ -70,13 +71,15 @@ def enhanced_predictions(spark, sf) -> DataFrame:
     )
 
 
-def ablation_predictions(spark, sf, divisor: int) -> DataFrame:
+def ablation_columns(test: DataFrame, divisors: dict[str, int]) -> DataFrame:
+    """Scores of the given ablation variants for the test rows, side by side."""
     x = F.col("x")
-    return enhanced_predictions(spark, sf).where("split = 'test'").withColumns({
-        "raw_predicted_probability_up": _share(x, divisor),
-        "calibrated_predicted_probability_up": _share(x, divisor + 2),
-        "predicted_next_day_direction": (_share(x, divisor + 2) >= 0.5).cast("int"),
-    })
+    columns = {}
+    for name, divisor in divisors.items():
+        columns[f"{name}_raw_predicted_probability_up"] = _share(x, divisor)
+        columns[f"{name}_predicted_probability_up"] = _share(x, divisor + 2)
+        columns[f"{name}_predicted_next_day_direction"] = (_share(x, divisor + 2) >= 0.5).cast("int")
+    return test.select(*MERGE_KEYS, *[c.alias(n) for n, c in columns.items()])
 
 
 cte("keyed", """

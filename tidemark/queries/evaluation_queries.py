@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import decisions as D
 from tidemark.operators import evaluation as EV
 from tidemark.operators import metrics as M
+from tidemark.operators import models as L
 from tidemark.operators.merge import MERGE_KEYS
 from tidemark.operators.price_features import LABEL
 from tidemark.queries import evaluation_inputs as E
@@ -245,13 +246,12 @@ ABLATIONS = {EV.SENTIMENT_ONLY: 29, EV.EVENTS_ONLY: 37, EV.NO_CONFIDENCE: 43, EV
 
 
 def full_frame(spark, sf):
-    enhanced = E.enhanced_predictions(spark, sf)
+    """The evaluation frame with the naive variants and four given ablations, computed once."""
+    enhanced = L.materialize(E.enhanced_predictions(spark, sf))
     test = enhanced.where("split = 'test'")
-    out = frame(spark, sf)
+    out = EV.evaluation_frame(enhanced, E.baseline_predictions(spark, sf))
     out = EV.add_previous_day(EV.add_majority(out, enhanced.where("split = 'train'")), test)
-    for name, divisor in ABLATIONS.items():
-        out = EV.add_variant(out, E.ablation_predictions(spark, sf, divisor), name)
-    return out
+    return L.materialize(out.join(E.ablation_columns(test, ABLATIONS), list(MERGE_KEYS), "left"))
 
 
 def _abl(divisor: int, variant: str) -> str:

@@ -33,13 +33,22 @@ def ntz(c) -> "F.Column":
     return (F.col(c) if isinstance(c, str) else c).cast("timestamp_ntz")
 
 
+_calendars: dict[str, DataFrame] = {}
+
+
 def calendar(spark: SparkSession) -> DataFrame:
-    return build_calendar(spark, ("NSE",), MARKET)
+    """The calendar of the bar range, kept once per session: about 3,000 rows of a fixed dimension."""
+    key = f"{spark.sparkContext.applicationId}-{id(spark)}"
+    if key not in _calendars:
+        _calendars[key] = build_calendar(spark, ("NSE",), MARKET).persist()
+    return _calendars[key]
 
 
 def r(c, digits: int = 6):
     """Double on a decimal grid; see `oracle.rnd` for the cut."""
-    value = F.col(c) if isinstance(c, str) else c
+    if isinstance(c, str):
+        return F.expr(f"cast(floor({c} * 1e{digits}D + {GRID_CUT}D) as double) / 1e{digits}D")
+    value = c
     return F.floor(value * F.lit(10.0**digits) + F.lit(GRID_CUT)).cast("double") / F.lit(10.0**digits)
 
 

@@ -15,6 +15,8 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Call-site capture doubles the cost of building wide plans from Python.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     master = master or os.environ.get("TIDEMARK_MASTER")
     if master:
