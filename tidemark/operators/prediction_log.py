@@ -190,13 +190,17 @@ def linked_news(rows: DataFrame, extractions: DataFrame, limit: int = 3) -> Data
 
 
 def linked_from_lineage(rows: DataFrame, lineage: DataFrame, extractions: DataFrame, limit: int = 3) -> DataFrame:
-    """The same from the long lineage table, without gathering the ids of a session."""
+    """The same from the long lineage table.
+
+    The best articles are picked once per session and mode, before the log rows join, so
+    reruns of a busy session do not multiply its articles.
+    """
     keys = [*MODE_KEYS, "prediction_date"]
-    pairs = rows.select("pilot_entry_id", *keys).join(
-        lineage.withColumnRenamed("date", "prediction_date").select(*keys, "article_id"), keys)
-    w = Window.partitionBy("pilot_entry_id").orderBy(F.col("relevance_score").desc(), F.col("article_id"))
-    return pairs.join(extractions.drop(*[c for c in keys if c in extractions.columns]), "article_id").withColumn(
-        "position", F.row_number().over(w)).where(F.col("position") <= limit)
+    facts = extractions.drop(*[c for c in keys if c in extractions.columns])
+    ranked = lineage.withColumnRenamed("date", "prediction_date").select(*keys, "article_id").join(facts, "article_id")
+    w = Window.partitionBy(*keys).orderBy(F.col("relevance_score").desc(), F.col("article_id"))
+    best = ranked.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
+    return rows.select("pilot_entry_id", *keys).join(best, keys)
 
 
 def recent_runs(log: DataFrame, limit: int, mode: str | None = None, day: str | None = None, key: str | None = None) -> DataFrame:

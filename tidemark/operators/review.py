@@ -53,11 +53,10 @@ def row_notes() -> Column:
 def expected_pairs(instruments: DataFrame, calendar: DataFrame, start: str, end: str,
                    modes: tuple[str, ...] = MODES) -> DataFrame:
     """Every (instrument, session, mode) of the review window."""
-    days = calendar.where("is_session").where(
-        F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select(
-        "exchange", F.col("date").alias("market_session_date"))
-    # Sessions of one window and two modes: a few rows per exchange.
-    return instruments.select(*KEYS).distinct().join(F.broadcast(days), "exchange").withColumn(
+    sessions = calendar.where("is_session").select("exchange", F.col("date").alias("market_session_date"))
+    days = instruments.select(*KEYS).distinct().withColumn("market_session_date", F.explode(
+        F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))))
+    return days.join(F.broadcast(sessions), ["exchange", "market_session_date"]).withColumn(
         "prediction_mode", F.explode(F.array(*[F.lit(m) for m in modes])))
 
 

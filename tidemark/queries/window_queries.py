@@ -136,20 +136,20 @@ def week_status(spark, sf):
 def bar_windows(spark, sf):
     """One window per order: instrument of its customer, cutoff around its date."""
     a = I.extractions(spark, sf)
-    cal = I.calendar(spark).select("exchange", F.col("date").alias("d"), "on_or_after", "previous_session", "next_session")
+    cal = I.calendar(spark).select("exchange", F.col("date").alias("d"), "on_or_after", "previous_session", "second_session")
     rows = a.withColumn("d", F.to_date("published_at_utc")).join(F.broadcast(cal), ["exchange", "d"])
     pre = F.col("k") % 2 == 0
     return rows.select(
         "article_id", *KEYS, F.when(pre, "pre_market").otherwise("after_close").alias("prediction_mode"),
         F.col("on_or_after").alias("market_session_date"),
         F.when(pre, F.col("previous_session")).otherwise(F.col("on_or_after")).alias("historical_cutoff_date"),
-        F.when(pre, F.col("on_or_after")).otherwise(F.col("next_session")).alias("base_prediction_date"),
-        F.col("published_at_utc").alias("news_cutoff_utc")).withColumnRenamed("base_prediction_date", "prediction_date")
+        F.when(pre, F.col("on_or_after")).otherwise(F.col("second_session")).alias("prediction_date"),
+        F.col("published_at_utc").alias("news_cutoff_utc"))
 
 
 cte("bar_windows", """
 SELECT e.article_id, e.ticker, e.exchange, e.k, e.published_at_utc, CASE WHEN e.k % 2 = 0 THEN 'pre_market' ELSE 'after_close' END AS prediction_mode, c.on_or_after AS session,
-  CASE WHEN e.k % 2 = 0 THEN c.previous_session ELSE c.on_or_after END AS cutoff, CASE WHEN e.k % 2 = 0 THEN c.on_or_after ELSE c.next_session END AS pdate
+  CASE WHEN e.k % 2 = 0 THEN c.previous_session ELSE c.on_or_after END AS cutoff, CASE WHEN e.k % 2 = 0 THEN c.on_or_after ELSE c.second_session END AS pdate
 FROM extractions e JOIN cal c ON c.date = CAST(e.published_at_utc AS DATE)""")
 cte("bar_reach", "SELECT b.ticker, b.date, c.on_or_before AS reach FROM bars b JOIN cal c ON c.date = b.date")
 cte("win_latest", """
