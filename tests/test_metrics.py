@@ -39,6 +39,8 @@ def test_calibration_bin_edges(spark):
     bins = {r["bin_index"]: r for r in rows(M.calibration_bins(df, ["g"], LABEL, "p"))}
     # Ten bins: 0.1 is in bin 0, 0.2 in bin 1, 0.8 in bin 7, 0.85 and 0.9 in bin 8.
     assert {k: v["row_count"] for k, v in bins.items()} == {0: 1, 1: 1, 7: 1, 8: 2}
+    five = {r["bin_index"]: (r["row_count"], r["actual_frequency"]) for r in rows(M.calibration_bins(df, ["g"], LABEL, "p", 5))}
+    assert five == {0: (2, 0.0), 3: (1, 1.0), 4: (2, 1.0)}
     odd = rows(M.calibration_bins(small(spark, [1, 0], [1, 1], [0.1 + 0.2, 0.0]), ["g"], LABEL, "p"), "bin_index")
     assert [r["bin_index"] for r in odd] == [0, 2]
 

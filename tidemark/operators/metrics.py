@@ -9,8 +9,6 @@ from tidemark.operators.running import running_sums, unit_levels
 
 # Probability clip of the log-loss, machine epsilon of a double.
 EPSILON = 2.220446049250313e-16
-# Edges of the ten calibration bins, as the evenly spaced doubles they are.
-BIN_EDGES = (0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0)
 THRESHOLDS = tuple(step / 100.0 for step in range(30, 71))
 # Metric order and the direction in which a metric improves.
 METRIC_ORDER = ("accuracy", "precision", "recall", "f1", "roc_auc", "log_loss", "brier_score")
@@ -125,10 +123,16 @@ def prediction_metrics(df: DataFrame, keys: list[str], label: str, predicted: st
     return out.drop(*drop)
 
 
-def calibration_bins(df: DataFrame, keys: list[str], label: str, probability: str) -> DataFrame:
+def bin_edges(bins: int) -> list[float]:
+    """Evenly spaced edges as doubles; 3 * 0.1 is 0.30000000000000004, and a score is compared with that."""
+    step = 1.0 / bins
+    return [i * step for i in range(bins)] + [1.0]
+
+
+def calibration_bins(df: DataFrame, keys: list[str], label: str, probability: str, bins: int = 10) -> DataFrame:
     """Non-empty right-closed bins; 0 belongs to the first bin."""
     p = F.col(probability)
-    below = F.size(F.filter(F.array(*[F.lit(e) for e in BIN_EDGES]), lambda e: e < p))
+    below = F.size(F.filter(F.array(*[F.lit(e) for e in bin_edges(bins)]), lambda e: e < p))
     bin_index = F.when(p == 0, 0).when(p.between(0.0, 1.0), below - 1)
     return (
         df.withColumn("bin_index", bin_index).where("bin_index is not null")
@@ -136,7 +140,7 @@ def calibration_bins(df: DataFrame, keys: list[str], label: str, probability: st
             F.count(F.lit(1)).alias("row_count"),
             F.avg(probability).alias("avg_probability"),
             F.avg(F.col(label).cast("double")).alias("actual_frequency"))
-        .withColumns({"bin_start": F.col("bin_index") / 10.0, "bin_end": (F.col("bin_index") + 1) / 10.0})
+        .withColumns({"bin_start": F.col("bin_index") / float(bins), "bin_end": (F.col("bin_index") + 1) / float(bins)})
     )
 
 
