@@ -30,8 +30,8 @@ class Index:
     are searched; a task takes blocks of at most `block` vectors and `block` queries of one bucket."""
 
     k: int = 20
-    tables: int = 10
-    probes: int = 48
+    tables: int = 8
+    probes: int = 10
     per_bucket: int = 256
     block: int = 4096
     seed: int = 7
@@ -124,8 +124,9 @@ def _hashed(frame: DataFrame, sizes: dict[int, tuple[int, float]], index: Index,
                             "dim": int(dim), "tab": t, "code": codes.ravel(), "vid": np.repeat(some["vid"].to_numpy(), m),
                             "v": some["v"].repeat(m).to_numpy()})
 
+    kind = frame.schema["v"].dataType.elementType.simpleString()
     return frame.select("vid", "dim", "v").mapInPandas(
-        run, "dim int, tab int, code long, vid long, v array<double>")
+        run, f"dim int, tab int, code long, vid long, v array<{kind}>")
 
 
 def _chunked(rows: DataFrame, counts: DataFrame, own: str, other: str, block: int) -> DataFrame:
@@ -145,16 +146,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, index: Index | None = None)
     repeated with one id and one vector count once; one id with several vectors keeps its best score.
     """
     index = index or Index()
+
     def usable(frame: DataFrame) -> DataFrame:
-        v = F.transform("embedding", lambda x: x.cast("double"))
+        kind = "float" if frame.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
         fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         return frame.where("vec_id is not null and embedding is not null").select(
             F.col("vec_id").cast("long").alias("vec_id"),
-            F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).alias("v")).where(
+            F.transform("embedding", lambda x: F.when(x == 0, F.lit(0)).otherwise(x).cast(kind)).alias("v")).where(
             fine & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
     # Copies: one row per distinct vector with its k + 1 smallest ids.
     keep = index.k + 1
+
     def distinct(frame: DataFrame, most: int | None) -> DataFrame:
         ids = usable(frame).withColumn("digest", F.sha2(F.array_join("v", ",").cast("binary"), 256))
         ids = ids.dropDuplicates(["digest", "vec_id"])
@@ -167,7 +170,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, index: Index | None = None)
     asked = settled(distinct(queries, None))
     candidates = every.where("r = 1").select(F.col("vec_id").alias("vid"), "dim", "v")
     questions = asked.where("r = 1").select(F.col("vec_id").alias("vid"), "dim", "v")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     sizes = {r["dim"]: (r["n"], r["top"] * (1 + 1e-12)) for r in candidates.groupBy("dim").agg(
         F.count("*").alias("n"), F.max(norm).alias("top")).collect()}  # one row per dimension
     questions = questions.where(F.col("dim").isin(*sizes) if sizes else F.lit(False))
