@@ -1,7 +1,7 @@
 """Quality classifier: document evidence combined with host and path posteriors by hierarchical empirical Bayes.
 
-A document's evidence is the sum of log-odds of the hashed word features present in it, learned from
-labelled documents and calibrated. Grouped sums of that evidence give each host (source) and each
+A document's evidence is a logistic regression on the hashed word features present in it, chosen by
+a likelihood ratio statistic and fitted on labelled documents. Grouped sums of that evidence give each host (source) and each
 path (source and language) a rejection rate; a host's rate is shrunk toward the global rate and a
 path's toward its host's, with prior strengths fitted to the spread of the rates. A document's
 posterior replaces the global rate in its evidence by the rate of the other documents on its path.
@@ -27,13 +27,15 @@ from tidemark.llm.text import join_texts, mix, span_hashes, word_bounds
 @dataclass(frozen=True)
 class Settings:
     """Production parameters: at most `labelled` labelled documents are learned from; features are hashed
-    to `bits` bits and kept from `min_docs` documents and a likelihood ratio statistic of `min_g2` on;
-    path tables of up to `broadcast_paths` rows are broadcast, larger ones joined by shuffle."""
+    to `bits` bits, and per reason to reject those `features` more often present in rejected documents that have the
+    largest likelihood ratio statistic, from `min_docs` documents and `min_g2` on, are kept; `ridge` is the penalty on their weights. Path tables of up to `broadcast_paths` rows are broadcast, larger ones joined by shuffle."""
 
     labelled: int = 20_000
     bits: int = 20
     min_docs: int = 8
-    min_g2: float = 45.0
+    min_g2: float = 30.0
+    features: int = 2048
+    ridge: float = 0.3
     broadcast_paths: int = 50_000
     reject_from: float = 0.5
 
@@ -43,23 +45,42 @@ KINDS = ((1, 0, 0), (2, 1, 4), (3, 1, 5), (4, 1, 6), (5, -1, 2), (6, -1, 3))
 SLICE_BYTES = 1 << 22
 
 
+_SHAPE_BOUNDS = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8])
+
+
+def _shape_slots(values: np.ndarray, kind: int, bits: int) -> np.ndarray:
+    """Slot of a text's share (0 to 1) of something, by range."""
+    name = np.searchsorted(_SHAPE_BOUNDS, values).astype(np.uint64) + np.uint64(1000 * kind)
+    return (mix(name) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def feature_slots(texts: list[str | None], bits: int, wanted: np.ndarray | None = None):
-    """(text index, slot) pairs, each once, of the features present; `wanted` masks the slots of interest."""
+    """(text index, slot) pairs, each once, of the features present; `wanted` masks the slots of interest.
+
+    Features are words and their beginnings and ends, and by range: the share of words equal to the one
+    before, of distinct words, of upper-case and of symbol bytes, and the number of words.
+    """
     data, begins = join_texts(texts)
     starts, ends = word_bounds(data)
     docs, slots = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    n = len(texts)
+    words, repeats, distinct = np.zeros(n), np.zeros(n), np.zeros(n)
     at = 0
     while at < len(starts):
         upto = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE_BYTES)))
         s, e = starts[at:upto], ends[at:upto]
         owner = np.searchsorted(begins, s, "right") - 1
-        for salt, side, n in KINDS:
-            a = np.maximum(s, e - n) if side < 0 else s
-            b = np.minimum(e, s + n) if side > 0 else e
-            order = np.argsort(a, kind="stable") if side < 0 else slice(None)
-            h = mix(span_hashes(data, a[order], b[order]) + np.uint64(salt))
-            slot = (h >> np.uint64(64 - bits)).astype(np.int64)
-            own = owner[order]
+        for salt, side, length in KINDS:
+            a = np.maximum(s, e - length) if side < 0 else s
+            b = np.minimum(e, s + length) if side > 0 else e
+            whole = span_hashes(data, a, b)
+            slot = (mix(whole + np.uint64(salt)) >> np.uint64(64 - bits)).astype(np.int64)
+            own = owner
+            if side == 0:
+                same = (whole[1:] == whole[:-1]) & (own[1:] == own[:-1])
+                words += np.bincount(own, minlength=n)
+                repeats += np.bincount(own[1:][same], minlength=n)
+                distinct += np.bincount(np.unique(own << bits | slot) >> bits, minlength=n)
             if wanted is not None:
                 keep = wanted[slot]
                 slot, own = slot[keep], own[keep]
@@ -67,34 +88,50 @@ def feature_slots(texts: list[str | None], bits: int, wanted: np.ndarray | None
             docs.append(both >> bits)
             slots.append(both & ((1 << bits) - 1))
         at = upto
+    sizes = np.maximum(np.diff(begins) - 1, 1)
+    some = np.maximum(words, 1)
+    for kind, share in enumerate((
+            repeats / some, distinct / some, _per_text(_UPPER, data, begins) / sizes,
+            _per_text(_SYMBOL, data, begins) / sizes, np.minimum(np.log2(some) / 16, 1)), 1):
+        slot, own = _shape_slots(share, kind, bits), np.arange(n)
+        keep = slice(None) if wanted is None else wanted[slot]
+        docs.append(own[keep])
+        slots.append(slot[keep])
     both = np.unique(np.concatenate(docs) << bits | np.concatenate(slots))
     return both >> bits, both & ((1 << bits) - 1)
 
 
+_UPPER, _SYMBOL = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_UPPER[65:91] = True
+_SYMBOL[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def _per_text(kind: np.ndarray, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Number of bytes of a kind in each text."""
+    return np.bincount(np.searchsorted(begins, np.flatnonzero(kind[data]), "right") - 1, minlength=len(begins))[:-1]
+
+
 class Evidence:
-    """Weights per feature slot for the two reasons to reject (toxic, low quality), and their calibration."""
+    """Weights per feature slot for the two reasons to reject (toxic, low quality), and their intercepts."""
 
-    def __init__(self, bits: int, slots: np.ndarray, weights: np.ndarray):
-        self.bits, self.slots, self.weights = bits, slots, weights
-        self.line = np.array([[1.0, -3.0], [1.0, -3.0]])
+    def __init__(self, bits: int, slots: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.bits, self.slots, self.weights, self.bias = bits, slots, weights, bias
 
-    def raw(self, texts: list[str | None]) -> np.ndarray:
-        """Sum of the weights of the features present, per text and reason."""
+    def present(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text index, index into slots) of the kept features present."""
         wanted = np.zeros(1 << self.bits, dtype=bool)
         wanted[self.slots] = True
-        table = np.zeros((1 << self.bits, 2), dtype=np.float32)
-        table[self.slots] = self.weights
         docs, slots = feature_slots(texts, self.bits, wanted)
-        out = np.zeros((len(texts), 2))
-        for k in range(2):
-            out[:, k] = np.bincount(docs, weights=table[slots, k], minlength=len(texts))[:len(texts)]
-        return out
+        return docs, np.searchsorted(self.slots, slots)
 
     def reject(self, texts: list[str | None]) -> np.ndarray:
         """Probability, by the text alone, that a document should go."""
-        raw = self.raw(texts)
-        p = 1 / (1 + np.exp(-np.clip(raw * self.line[:, 0] + self.line[:, 1], -30, 30)))
-        return np.clip(1 - (1 - p[:, 0]) * (1 - p[:, 1]), 1e-9, 1 - 1e-9)
+        docs, at = self.present(texts)
+        stays = np.ones(len(texts))
+        for k in range(2):
+            raw = np.bincount(docs, weights=self.weights[at, k], minlength=len(texts))[:len(texts)] + self.bias[k]
+            stays /= 1 + np.exp(np.clip(raw, -30, 30))
+        return np.clip(1 - stays, 1e-9, 1 - 1e-9)
 
 
 def _g2(a: np.ndarray, n_a: float, b: np.ndarray, n_b: float) -> np.ndarray:
@@ -144,41 +181,59 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     table = counts.where((F.col("slot") < 0) | (F.col("every") >= settings.min_docs)).toPandas()
     total = table[table["slot"] < 0].sum(numeric_only=True)
     table = table[table["slot"] >= 0].sort_values("slot")
-    weights = np.zeros((len(table), 2), dtype=np.float32)
-    for k, name in enumerate(("toxic", "low")):
+    chosen = np.zeros(len(table), dtype=bool)
+    for name in ("toxic", "low"):
         a, n_a = table[name].to_numpy(float), float(total.get(name, 0))
         b, n_b = table["every"].to_numpy(float) - a, float(total.get("every", 0)) - n_a
         if n_a > 0 and n_b > 0 and len(table):
-            odds = np.log((a + 0.5) / (n_a + 1)) - np.log((b + 0.5) / (n_b + 1))
-            weights[:, k] = np.where((_g2(a, n_a, b, n_b) >= settings.min_g2) & (odds > 0), odds, 0)
-    kept = (weights != 0).any(axis=1)
-    evidence = Evidence(bits, table["slot"].to_numpy(np.int64)[kept], weights[kept])
+            g2 = np.where(a / n_a > b / n_b, _g2(a, n_a, b, n_b), 0)
+            best = np.argsort(-g2, kind="stable")[:settings.features]
+            chosen[best[g2[best] >= settings.min_g2]] = True
+    slots = table["slot"].to_numpy(np.int64)[chosen]
+    evidence = Evidence(bits, slots, np.zeros((len(slots), 2)), np.full(2, -3.0))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            raw = evidence.raw([t if isinstance(t, str) else None for t in batch["text"]])
-            yield pd.DataFrame({"x0": raw[:, 0], "x1": raw[:, 1], "y0": batch["toxic"].astype("float64"),
-                                "y1": batch["low"].astype("float64")})
-
-    scored = sample.mapInPandas(score, "x0 double, x1 double, y0 double, y1 double").toPandas()  # bounded by `labelled`
+            docs, at = evidence.present([t if isinstance(t, str) else None for t in batch["text"]])
+            cut = np.searchsorted(docs, np.arange(len(batch) + 1))
+            yield pd.DataFrame({
+                "x": [at[i:j].astype("<i4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)],
+                "y0": batch["toxic"].astype("float64"), "y1": batch["low"].astype("float64")})
+
+    # At most `labelled` rows of at most 2 * `features` entries.
+    rows = sample.mapInPandas(present, "x binary, y0 double, y1 double").toPandas()
+    held = [np.frombuffer(x, "<i4") for x in rows["x"]]
+    docs_at = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    at = np.concatenate([np.zeros(0, "<i4"), *held]).astype(np.int64)
     for k in range(2):
-        evidence.line[k] = _calibrate(scored[f"x{k}"].to_numpy(), scored[f"y{k}"].to_numpy())
+        evidence.weights[:, k], evidence.bias[k] = _regression(
+            docs_at, at, rows[f"y{k}"].to_numpy(float), len(slots), settings.ridge)
     return evidence
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slope and intercept of a ridge-penalised logistic fit of y on x (Newton steps); x = 0 for lack of data."""
-    if len(x) == 0 or y.min() == y.max():
-        return np.array([0.0, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(x) else -3.0])
-    design, w = np.column_stack([x, np.ones_like(x)]), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (y - p) - 1e-2 * w
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2), gradient)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+def _regression(docs: np.ndarray, at: np.ndarray, y: np.ndarray, n: int, ridge: float, steps: int = 300):
+    """Weights and intercept of a ridge-penalised logistic fit on 0/1 features given as (row, feature) pairs.
+
+    Accelerated gradient steps, each feature's step scaled by how often it occurs. One class only: the
+    weights stay 0 and the intercept is that of the smoothed rate.
+    """
+    rate = (y.sum() + 0.5) / (len(y) + 10.0)
+    w, bias = np.zeros(n), math.log(rate / (1 - rate))
+    if not len(y) or y.min() == y.max() or not n:
+        return w, bias
+    per_row = max(1.0, np.bincount(docs, minlength=len(y)).max() ** 0.5)
+    scale = 4.0 / (np.bincount(at, minlength=n) * per_row + 4 * ridge)
+    scale_b = 4.0 / (len(y) * per_row)
+    look, look_b, old, old_b = w, bias, w, bias
+    for step in range(steps):
+        raw = np.bincount(docs, weights=look[at], minlength=len(y)) + look_b
+        error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y
+        new = look - scale * (np.bincount(at, weights=error[docs], minlength=n) + ridge * look)
+        new_b = look_b - scale_b * error.sum()
+        momentum = min(0.9, step / (step + 3))
+        look, look_b = new + momentum * (new - old), new_b + momentum * (new_b - old_b)
+        old, old_b = new, new_b
+    return old, float(old_b)
 
 
 def _key(name: str) -> Column:
