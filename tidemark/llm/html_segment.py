@@ -130,14 +130,19 @@ def _block(stack: list[tuple[str, bool]]) -> str:
     return ""
 
 
+def _weighed(name: str) -> str:
+    """Name under which a tag or block is counted and weighed: headings of all levels are one."""
+    return "h1" if name in ("h2", "h3", "h4", "h5", "h6") else name
+
+
 def region(parts: list[Span], weights: Weights) -> tuple[int, int]:
     """The slice of largest total score; of equal ones the earliest, then the shortest."""
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     for k, p in enumerate(parts):
         if p.tag:
-            total += weights.tags.get(p.tag.lstrip("/"), weights.tag)
+            total += weights.tags.get(_weighed(p.tag.lstrip("/")), weights.tag)
         elif not p.out:
-            total += weights.words.get(p.block, weights.word) * len(p.text.split())
+            total += weights.words.get(_weighed(p.block), weights.word) * len(p.text.split())
         if total > best:
             best, best_at = total, (begin, k + 1)
         if total <= 0:
@@ -181,9 +186,9 @@ def counts_of(page: str) -> Counter:
             depth = max(0, depth + (-1 if p.tag[0] == "/" else 1))
         inside = depth > 0 and not p.out and name not in ("article", "main")
         if p.tag:
-            out["tag", name, inside] += 1
+            out["tag", _weighed(name), inside] += 1
         else:
-            out["word", p.block, inside] += len(p.text.split())
+            out["word", _weighed(p.block), inside] += len(p.text.split())
     return out
 
 
