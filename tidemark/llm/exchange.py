@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.text import by_size
 
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 6 << 20
 FIELDS = 6
 ROW = "slot int, block long, part int, " + ", ".join(f"f{i} binary" for i in range(FIELDS))
 COLUMNS = ["slot", "block", "part", *[f"f{i}" for i in range(FIELDS)]]

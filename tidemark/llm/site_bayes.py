@@ -42,7 +42,7 @@ class Settings:
 
 #: Fixed values: (salt, side, length) of the feature kinds; side +: first bytes, -: last bytes, 0: all.
 KINDS = ((1, 0, 0), (2, 1, 4), (3, 1, 5), (4, 1, 6), (5, -1, 2), (6, -1, 3))
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
 
 _SHAPE_BOUNDS = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8])

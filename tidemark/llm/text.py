@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
