@@ -29,7 +29,7 @@ def articles(spark, sf) -> DataFrame:
     docs = I.table(spark, sf, "documents")
     title = F.substring_index("text", "\n", 1)
     ticker = F.concat(F.lit("N"), (d % 25).cast("string"))
-    snippet = F.substring("text", F.length(title) + 2, F.lit(200))
+    snippet = F.substring("text", F.length(title) + 2, F.length("text"))
     published = F.timestamp_seconds(F.lit(946684800) + (d % 500) * 3600)
     payload = (
         F.when(d % 4 == 0, F.concat(F.lit('[{"symbol":"'), ticker, F.lit('","name":"x"}]')))
@@ -41,7 +41,7 @@ def articles(spark, sf) -> DataFrame:
         F.when(d % 2 == 0, F.concat(F.lit("u"), d.cast("string"))).alias("provider_uuid"),
         title.alias("article_title"), F.nullif(snippet, F.lit("")).alias("summary_snippet"),
         F.when(d % 3 != 0, F.concat(
-            F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.substring(F.md5("text"), 1, 8))).alias("canonical_url"),
+            F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.md5("text"))).alias("canonical_url"),
         F.when(d % 29 != 0, F.concat(F.col("source"), F.lit(".example.com"))).alias("source_domain"),
         F.col("source").alias("source_name"), published.alias("published_at_utc"),
         F.to_date(published).alias("published_date_ist"), payload.alias("provider_entity_payload"),
@@ -61,8 +61,8 @@ SELECT *, split_part(text, chr(10), 1) AS title, 'N' || (doc_id % 25) AS ticker
 cte("doc_articles", f"""
 SELECT 'a' || doc_id AS article_id, ticker, 'NSE' AS exchange, ([{in_list(PROVIDERS)}])[1 + doc_id % 7] AS provider,
        ([{in_list(MODES)}])[1 + doc_id % 5] AS discovery_mode, CASE WHEN doc_id % 2 = 0 THEN 'u' || doc_id END AS provider_uuid,
-       title AS article_title, nullif(substr(text, length(title) + 2, 200), '') AS summary_snippet,
-       CASE WHEN doc_id % 3 <> 0 THEN 'https://' || source || '.example.com/' || substr(md5(text), 1, 8) END AS canonical_url,
+       title AS article_title, nullif(substr(text, length(title) + 2), '') AS summary_snippet,
+       CASE WHEN doc_id % 3 <> 0 THEN 'https://' || source || '.example.com/' || md5(text) END AS canonical_url,
        CASE WHEN doc_id % 29 <> 0 THEN source || '.example.com' END AS source_domain, source AS source_name,
        TIMESTAMP '2000-01-01' + to_hours(CAST(doc_id % 500 AS INTEGER)) AS published_at_utc,
        ([{in_list(ACQUIRED)}])[1 + doc_id % 3] AS text_acquisition_mode, text AS page_text, doc_id

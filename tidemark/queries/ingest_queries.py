@@ -23,22 +23,21 @@ S = IngestSettings()
 
 
 @query("text_cleaning", "X1", f"""
-SELECT doc_id, {D.clean("substr(text, 1, length(text) // 2)")} AS cleaned, md5({D.match('text')}) AS match_hash,
+SELECT doc_id, {D.clean('text')} AS cleaned, md5({D.match('text')}) AS match_hash,
        md5(trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1F\\x7F]', ' ', 'g'), '\\s+', ' ', 'g'))) AS safe_hash FROM documents""")
 def text_cleaning(spark, sf):
     text = F.col("text")
-    half = F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))
     return I.table(spark, sf, "documents").select(
-        "doc_id", X.clean_text(half).alias("cleaned"), F.md5(X.match_text(text)).alias("match_hash"),
+        "doc_id", X.clean_text(text).alias("cleaned"), F.md5(X.match_text(text)).alias("match_hash"),
         F.md5(X.safe_text(text)).alias("safe_hash"))
 
 
 @query("enum_normalization", "X2", """
-SELECT doc_id, regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '[\\x00-\\x1F\\x7F]', ' ', 'g'), '\\s+', ' ', 'g'))),
+SELECT doc_id, regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1F\\x7F]', ' ', 'g'), '\\s+', ' ', 'g'))),
        '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS enum_value FROM documents""")
 def enum_normalization(spark, sf):
     return I.table(spark, sf, "documents").select(
-        "doc_id", X.enum_text(F.substring_index("text", "\n", 1)).alias("enum_value"))
+        "doc_id", X.enum_text(F.col("text")).alias("enum_value"))
 
 
 cte("page_parts", """
@@ -234,7 +233,7 @@ def reason_dedupe(spark, sf):
 
 
 cte("url_cache", """
-SELECT 'https://' || source || '.example.com/' || substr(md5(text), 1, 8) AS cache_key, max(TIMESTAMP '2000-01-01' + to_hours(CAST(doc_id % 700 AS INTEGER))) AS cached_at_utc
+SELECT 'https://' || source || '.example.com/' || md5(text) AS cache_key, max(TIMESTAMP '2000-01-01' + to_hours(CAST(doc_id % 700 AS INTEGER))) AS cached_at_utc
 FROM documents WHERE doc_id % 4 <> 3 GROUP BY 1""")
 
 
@@ -245,7 +244,7 @@ FROM doc_articles a LEFT JOIN url_cache c ON c.cache_key = a.canonical_url""")
 def article_cache_lookup(spark, sf):
     d = F.col("doc_id")
     cache = I.table(spark, sf, "documents").where(d % 4 != 3).select(
-        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.substring(F.md5("text"), 1, 8)).alias("cache_key"),
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.md5("text")).alias("cache_key"),
         F.timestamp_seconds(F.lit(946684800) + (d % 700) * 3600).alias("cached_at_utc"),
         F.lit("headline_only").alias("text_acquisition_mode"))
     rows = D.articles(spark, sf).select("article_id", "canonical_url", F.lit(None).cast("string").alias("article_url"))
@@ -298,24 +297,24 @@ def _feed_rows(spark, sf):
     url = (
         F.when(d % 5 == 0, None).when(d % 41 == 0, _FEED_URLS[1]).when(d % 43 == 0, _FEED_URLS[2])
         .otherwise(F.concat(F.lit("https://WWW."), F.col("source"), F.lit(".example.com:443/p/"),
-                            (d % 97).cast("string"), F.lit("/?utm_source=x&b=2&a=1"))))
+                            d.cast("string"), F.lit("/?utm_source=x&b=2&a=1"))))
     at = F.timestamp_seconds(F.lit(946684800) + d * 61)
     return I.table(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("N"), (d % 25).cast("string")).alias("ticker"), F.lit("NSE").alias("exchange"),
         F.when(d % 31 == 0, "  ").otherwise(title).alias("title"), url.alias("url"), at.alias("at"),
-        F.substring("text", F.length(title) + 2, F.lit(200)).alias("description"),
+        F.substring("text", F.length(title) + 2, F.length("text")).alias("description"),
         F.when(d % 23 == 0, None).otherwise(F.col("source")).alias("source"))
 
 
 cte("feed_rows", f"""
 SELECT doc_id, ticker, CASE WHEN doc_id % 31 = 0 THEN NULL ELSE {D.clean('title')} END AS title,
   CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 41 = 0 THEN 'javascript:alert(1)' WHEN doc_id % 43 = 0 THEN 'http://user:pw@host.example.com/a'
-       ELSE 'https://WWW.' || source || '.example.com:443/p/' || (doc_id % 97) || '/?utm_source=x&b=2&a=1' END AS url,
+       ELSE 'https://WWW.' || source || '.example.com:443/p/' || doc_id || '/?utm_source=x&b=2&a=1' END AS url,
   CASE WHEN doc_id % 5 = 0 OR doc_id % 41 = 0 OR doc_id % 43 = 0 THEN NULL
-       ELSE 'https://www.' || source || '.example.com/p/' || (doc_id % 97) || '?a=1&b=2' END AS canonical_url,
+       ELSE 'https://www.' || source || '.example.com/p/' || doc_id || '?a=1&b=2' END AS canonical_url,
   CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 41 = 0 THEN 'invalid_article_url' WHEN doc_id % 43 = 0 THEN 'article_url_contains_credentials' END AS url_reason,
   CASE WHEN doc_id % 37 = 0 THEN NULL ELSE TIMESTAMP '2000-01-01' + to_seconds(doc_id * 61) END AS published_at_utc,
-  {D.clean("substr(text, length(title) + 2, 200)")} AS snippet, CASE WHEN doc_id % 23 = 0 THEN NULL ELSE source END AS source
+  {D.clean("substr(text, length(title) + 2)")} AS snippet, CASE WHEN doc_id % 23 = 0 THEN NULL ELSE source END AS source
 FROM doc_base""")
 _iso = "strftime(published_at_utc, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 _id = f"substr(sha256(coalesce(canonical_url, '') || chr(10) || coalesce({{url}}, '') || chr(10) || title || chr(10) || {_iso} || chr(10)), 1, 24)"

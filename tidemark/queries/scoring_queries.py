@@ -13,7 +13,7 @@ from tidemark.queries.oracle import cte, in_list, rnd
 from tidemark.queries.registry import query
 from tidemark.settings import KEYS, IngestSettings
 
-S = IngestSettings(max_input_chars=2000)
+S = IngestSettings()
 
 
 def articles(spark, sf):
@@ -41,8 +41,8 @@ SELECT *, {safe('article_title')} AS t, {safe('summary_snippet')} AS s, text_acq
 cte("prep1", f"""
 SELECT *, CASE WHEN body <> '' THEN body WHEN t <> '' AND s <> '' THEN t || ' ' || s WHEN t <> '' THEN t ELSE s END AS raw_text,
   CAST(CASE extraction_mode WHEN 'full_article' THEN 1.0 WHEN 'headline_plus_snippet' THEN 0.75 ELSE 0.5 END AS DOUBLE) AS content_quality_score FROM prep0""")
-cte("prepared", """
-SELECT *, length(raw_text) > 2000 AS prompt_truncated, doc_id % 8 = 0 OR length(raw_text) > 2000 AS warning_flag, substr(raw_text, 1, 2000) AS prompt_article_text
+cte("prepared", f"""
+SELECT *, length(raw_text) > {S.max_input_chars} AS prompt_truncated, doc_id % 8 = 0 OR length(raw_text) > {S.max_input_chars} AS warning_flag, substr(raw_text, 1, {S.max_input_chars}) AS prompt_article_text
 FROM prep1 WHERE raw_text <> ''""")
 _hash = " || chr(10) || ".join([
     "'article_id=' || article_id", "'article_title=' || t", "'article_url='", "'canonical_url=' || coalesce(canonical_url, '')",
