@@ -386,7 +386,7 @@ _rss_id = f"substr(sha256('' || chr(10) || coalesce(canonical_rss, url, '') || c
 _rss_reasons = f"concat_ws(',', {_base_reasons}, CASE WHEN source IS NULL THEN 'missing_source_name' END)"
 
 
-@query("rss_feed", "S6 U1", f"""
+@query("rss_feed", "S6", f"""
 SELECT CASE WHEN {_rss_reasons} = '' THEN {_rss_id} END AS article_id, ticker, 'google_news_rss' AS provider, title AS article_title, coalesce(canonical_rss, url) AS article_url,
   CAST(NULL AS VARCHAR) AS canonical_url, coalesce('news.' || source || '.example.org', NULL) AS source_domain,
   source AS source_name, published_at_utc, published_at_utc + INTERVAL 330 MINUTE AS published_at_ist,
