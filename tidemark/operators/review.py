@@ -202,12 +202,12 @@ def variant_snapshot(table: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
 def table_fingerprint(table: DataFrame, formula_version: str, name: str) -> DataFrame:
     """One row that identifies a table version: row count, schema and an order-free content hash.
 
-    The hash sums 32-bit row hashes, so it needs one pass and no sort.
+    The hash sums 64-bit row hashes as decimals, which no number of rows overflows, so it needs one pass and no sort.
     """
     columns = sorted(table.columns)
     return table.agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum(F.pmod(F.xxhash64(*columns), F.lit(2**32))), F.lit(0)).alias("content_hash")).select(
+        F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(28,0)")), F.lit(0)).alias("content_hash")).select(
         F.lit(name).alias("table_name"), F.lit(formula_version).alias("formula_version"),
         F.lit(",".join(columns)).alias("columns"), "row_count", "content_hash")
 
