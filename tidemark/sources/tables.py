@@ -13,10 +13,11 @@ def write_table(df: DataFrame, path: str, name: str, formula_version: str, parti
 
     Folders by exchange, not by instrument: ten thousand instruments would make as many
     small folders; inside a folder rows are ordered by instrument so that file statistics
-    prune a single one.
+    prune a single one. Tasks take ranges of (folder, instrument, date), so an instrument of
+    very many rows is split by date.
     """
     order = [c for c in ("ticker", "date", "prediction_date") if c in df.columns]
-    df.repartition(partition, *order[:1]).sortWithinPartitions(partition, *order).write.mode("overwrite").partitionBy(
+    df.repartitionByRange(partition, *order).sortWithinPartitions(partition, *order).write.mode("overwrite").partitionBy(
         partition).parquet(f"{path}/data")
     saved = df.sparkSession.read.parquet(f"{path}/data")
     table_fingerprint(saved.select(*df.columns), formula_version, name).write.mode("overwrite").json(f"{path}/summary")
@@ -30,7 +31,7 @@ def read_table(spark, path: str, columns: tuple[str, ...] | None = None) -> Data
     return df.select(*columns) if columns else df
 
 
-SUMMARY_SCHEMA = "table_name string, formula_version string, columns string, row_count long, content_hash long"
+SUMMARY_SCHEMA = "table_name string, formula_version string, columns string, row_count long, content_hash decimal(38,0)"
 
 
 def read_summary(spark, path: str) -> DataFrame:
