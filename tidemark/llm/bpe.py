@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.text import by_size, to_ints
+from tidemark.llm.text import by_size, lean, to_ints
 
 #: Fixed value: the pre-tokeniser pattern of byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -344,6 +344,7 @@ def _open_tail(raw: bytes) -> int:
 
 def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tokens array<int>): the ids of every whole text. Null and empty texts have no tokens."""
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = codec(tokenizer)
         for batch in batches:
@@ -362,6 +363,7 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     they are; other columns are not read. No shuffle: each task holds the vocabulary and a word
     cache of bounded size.
     """
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = codec(tokenizer)
         for batch in batches:

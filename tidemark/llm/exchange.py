@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import by_size
+from tidemark.llm.text import by_size, give_back, lean, lean_group
 
 BLOCK_CHARS = 6 << 20
 FIELDS = 6
@@ -111,6 +111,7 @@ def blocks(docs: DataFrame, make: Callable[[int, list, list], Iterator[tuple]],
 
     Block numbers hold the task's partition number, so a task that runs again makes the same blocks.
     """
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = TaskContext.get().partitionId() << 32
 
@@ -124,12 +125,15 @@ def blocks(docs: DataFrame, make: Callable[[int, list, list], Iterator[tuple]],
             others = [[r[k] for r in group] for k in range(2, 2 + len(extra))]
             made = list(make(first + i, ids, texts, *others))
             yield pd.DataFrame(made, columns=COLUMNS)
+            del group, ids, texts, others, made
+            give_back()
 
     return docs.select(F.col("doc_id").cast("string").alias("i"), F.col("text").alias("t"), *extra).mapInPandas(run, ROW)
 
 
 def at_buckets(frame: DataFrame, answer: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
     """answer(rows of one bucket) -> the fields of each row's answer, in the same order."""
+    @lean_group
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["slot"].iloc[0] < 0:
             return rows
@@ -143,6 +147,7 @@ def at_buckets(frame: DataFrame, answer: Callable[[list[tuple]], list[tuple]]) -
 
 def at_blocks(frame: DataFrame, finish: Callable[[tuple, list[tuple]], pd.DataFrame], schema: str) -> DataFrame:
     """finish(the block's own fields, the answers' fields in bucket order) -> result rows."""
+    @lean_group
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("part")
         fields = list(rows[COLUMNS[3:]].itertuples(index=False, name=None))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.text import to_ints
+from tidemark.llm.text import lean, to_ints
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -417,6 +417,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Null or empty text has no spans. Null ids and repeated rows stay as they are; other columns are
     not read. Without a shuffle; every text is read whole.
     """
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -448,6 +449,7 @@ def masked(docs: DataFrame) -> DataFrame:
     columns as they are."""
     names = docs.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()

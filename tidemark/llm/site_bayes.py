@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.exchange import settled
-from tidemark.llm.text import join_texts, mix, span_hashes, word_bounds
+from tidemark.llm.text import join_texts, lean, mix, span_hashes, word_bounds
 
 
 @dataclass(frozen=True)
@@ -162,6 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     bits = settings.bits
     sample = labelled_sample(docs, labels, settings.labelled)
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((1 << bits, 4), dtype=np.int32)  # rows: feature slots; columns: toxic, low, both, any
         sums = np.zeros(4, dtype=np.int64)
@@ -192,6 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     slots = table["slot"].to_numpy(np.int64)[chosen]
     evidence = Evidence(bits, slots, np.zeros((len(slots), 2)), np.full(2, -3.0))
 
+    @lean
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             docs, at = evidence.present([t if isinstance(t, str) else None for t in batch["text"]])
@@ -244,6 +246,7 @@ def with_evidence(docs: DataFrame, evidence: Evidence, name: str) -> DataFrame:
     """The documents and one more column, the probability to reject by the text alone."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = evidence.reject(batch.column("text").to_pylist())

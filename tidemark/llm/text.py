@@ -7,10 +7,13 @@ three bytes of memory per byte of text.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache, wraps
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 SLICE = 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -159,3 +162,47 @@ def by_size(rows: Iterable[tuple], size_of, limit: int, most: int = 60_000) -> I
             group, total = [], 0
     if group:
         yield group
+
+
+@lru_cache(maxsize=1)
+def _allocator():
+    """The C library where it can be told to give memory back (glibc), set to map arrays above 4 MB on their own."""
+    try:
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        library.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+        library.malloc_trim  # noqa: B018
+    except (OSError, AttributeError):
+        return None
+    return library
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker serves one task after another, and what it keeps is missing
+    to the executor's heap in later stages."""
+    library = _allocator()
+    pa.default_memory_pool().release_unused()
+    if library is not None:
+        library.malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The batch function `run`, which gives freed memory back at its start and at its end."""
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def lean_group(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The group function `run`, which gives freed memory back before and after each group."""
+    def wrapped(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
+        out = run(rows)
+        give_back()
+        return out
+
+    return wrapped
