@@ -19,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.text import by_size, lean, to_ints
+from tidemark.llm.text import by_size, give_back, lean, small_batches, to_ints
 
 #: Fixed value: the pre-tokeniser pattern of byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BATCH_CHARS = 1 << 20
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 NEVER = np.int64(1 << 40)
 
 SCHEMA = T.StructType([
@@ -42,7 +42,7 @@ def byte_alphabet() -> dict[str, int]:
 class PairTable:
     """Merge rank by pair key in two hash tables; the second holds the keys that collide in the first."""
 
-    BITS = 20
+    BITS = 18
 
     def __init__(self, keys: np.ndarray, ranks: np.ndarray):
         self.parts, seed = [], 1
@@ -83,19 +83,18 @@ class PairCodec:
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
         self.rank = np.full(n, -1, dtype=np.int64)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # rank by pair key
         left, right = np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
         for k, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             made = vocab[a + b]
             if self.rank[made] < 0:
                 self.rank[made], left[made], right[made] = k, vocab[a], vocab[b]
-            self.merges.setdefault((vocab[a], vocab[b]), (k, made))
-        keys = np.array([a << 20 | b for a, b in self.merges], dtype=np.int64)
-        self.pairs = PairTable(keys, np.array([k for k, _ in self.merges.values()], dtype=np.int64))
-        self.made = np.zeros(len(spec["model"]["merges"]), dtype=np.int64)
-        for k, made in self.merges.values():
-            self.made[k] = made
+            self.merges.setdefault(vocab[a] << 20 | vocab[b], k)
+        self.made = np.array([vocab["".join(p if isinstance(p, list) else p.split(" "))]
+                              for p in spec["model"]["merges"]], dtype=np.int64)
+        self.pairs = PairTable(np.array(list(self.merges), dtype=np.int64),
+                               np.array(list(self.merges.values()), dtype=np.int64))
         self.right_spine, self.right_depth = _spines(right)
         self.left_spine, self.left_depth = _spines(left)
         merged = np.flatnonzero(left >= 0)
@@ -206,17 +205,17 @@ class PairCodec:
 
         def push(i: int) -> None:
             j = after[i]
-            if j < len(ids) and (hit := self.merges.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (hit[0], i, ids[i], ids[j], hit[1]))
+            if j < len(ids) and (rank := self.merges.get(ids[i] << 20 | ids[j])) is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
 
         for i in range(len(ids) - 1):
             push(i)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= len(ids) or ids[j] != b:
                 continue
-            ids[i], ids[j], after[i] = made, -1, after[j]
+            ids[i], ids[j], after[i] = int(self.made[rank]), -1, after[j]
             if after[j] < len(ids):
                 before[after[j]] = i
             if before[i] >= 0:
@@ -314,7 +313,9 @@ def _spines(child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> PairCodec:
-    return PairCodec(path)
+    coder = PairCodec(path)
+    give_back()
+    return coder
 
 
 def digest(pieces: Iterable[bytes], coder: PairCodec) -> tuple[int, str, str]:
@@ -352,6 +353,7 @@ def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                    for parts in coder.encode_many(_texts(batch["t"]))]
             yield pd.DataFrame({"doc_id": to_ints(batch["i"]), "tokens": ids})
 
+    small_batches(docs)
     return docs.select(docs[id_col].cast("string").alias("i"), docs[text_col].alias("t")).mapInPandas(
         run, "doc_id long, tokens array<int>")
 
@@ -371,7 +373,9 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", to_ints(batch["i"]))
             yield out
+            give_back()
 
+    small_batches(docs)
     return docs.select(docs["doc_id"].cast("string").alias("i"), docs["text"].alias("t")).mapInPandas(run, SCHEMA)
 
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import by_size, give_back, lean, lean_group
+from tidemark.llm.text import by_size, give_back, lean, lean_group, small_batches
 
 BLOCK_CHARS = 6 << 20
 FIELDS = 6
@@ -128,6 +128,7 @@ def blocks(docs: DataFrame, make: Callable[[int, list, list], Iterator[tuple]],
             del group, ids, texts, others, made
             give_back()
 
+    small_batches(docs)
     return docs.select(F.col("doc_id").cast("string").alias("i"), F.col("text").alias("t"), *extra).mapInPandas(run, ROW)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.text import lean, to_ints
+from tidemark.llm.text import lean, small_batches, to_ints
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -429,6 +429,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", to_ints(batch["i"]))
             yield out
 
+    small_batches(docs)
     return docs.select(docs["doc_id"].cast("string").alias("i"), docs["text"].alias("t")).mapInPandas(run, SCHEMA)
 
 
@@ -458,6 +459,7 @@ def masked(docs: DataFrame) -> DataFrame:
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array(done, batch.schema.field(at).type))
 
+    small_batches(docs)
     out = docs.mapInArrow(run, docs.schema)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.exchange import settled
-from tidemark.llm.text import join_texts, lean, mix, span_hashes, word_bounds
+from tidemark.llm.text import join_texts, lean, mix, small_batches, span_hashes, word_bounds
 
 
 @dataclass(frozen=True)
@@ -176,6 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
         rows = np.concatenate([np.column_stack([at, total[at]]), [[-1, *sums]]])
         yield pd.DataFrame(rows, columns=["slot", "toxic", "low", "both", "every"]).astype("int64")
 
+    small_batches(sample)
     counts = sample.mapInPandas(count, "slot long, toxic long, low long, both long, every long").groupBy("slot").agg(
         *[F.sum(c).alias(c) for c in ("toxic", "low", "both", "every")])
     # At most 2^bits rows, however many documents there are.
@@ -252,6 +253,7 @@ def with_evidence(docs: DataFrame, evidence: Evidence, name: str) -> DataFrame:
             p = evidence.reject(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
 
+    small_batches(docs)
     return docs.mapInArrow(run, schema)
 
 

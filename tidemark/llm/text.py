@@ -14,8 +14,10 @@ from functools import lru_cache, wraps
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE = 1 << 18
+BATCH_BYTES = 4 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -186,6 +188,13 @@ def give_back() -> None:
         library.malloc_trim(0)
 
 
+def small_batches(frame: DataFrame) -> None:
+    """Have the frame's session send rows to Python in batches of about BATCH_BYTES instead of by their number:
+    a batch is held several times over, by the executor, by Arrow and as Python strings. A single longer row
+    is a batch of its own."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """The batch function `run`, which gives freed memory back at its start and at its end."""
     @wraps(run)
