@@ -121,6 +121,32 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert cross_polytope.nearest(none, none).count() == 0
 
 
+def recall_of(found, x, queries, k):
+    """Share of the k largest inner products of each query among the rows found for it."""
+    hits = 0
+    for q in queries:
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:k].tolist()) & found.get(q, set()))
+    return hits / (k * len(queries))
+
+
+def found_by(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["query_id"], set()).add(r["vec_id"])
+    return out
+
+
+def test_nearest_probes_grow_with_the_table(spark):
+    x = np.random.default_rng(1).normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    small = cross_polytope.Index(k=10, per_bucket=16, tables=4, probes=4)  # fixed probes reach few of many buckets
+    got = found_by(cross_polytope.nearest(frame, frame.where("vec_id % 40 = 0"), small).collect())
+    assert recall_of(got, x, range(0, 6000, 40), 10) >= 0.9
+
+
 def test_trie_scores(docs, texts, empty):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}

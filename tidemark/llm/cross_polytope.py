@@ -3,7 +3,8 @@
 Inner products become angles by one more coordinate: x is scaled by the largest norm M and filled up
 to length one, a query is scaled to length one with 0 there. A hash of a table is the nearest signed
 axis after a pseudo-rotation (three rounds of random signs and a Hadamard transform); several such
-hashes make a bucket when there are many vectors. Queries also look into the next nearest buckets.
+hashes make a bucket when there are many vectors. Queries also look into the next nearest buckets; how
+many grows with the table, until test queries find their true neighbours (by brute force) often enough.
 Candidates are scored exactly, in double precision, inside their bucket's task, and only the best of
 each (query, task) leave it.
 
@@ -27,7 +28,8 @@ from tidemark.llm.exchange import settled
 @dataclass(frozen=True)
 class Index:
     """Production parameters. Buckets hold about `per_bucket` vectors; `probes` buckets of each of `tables`
-    are searched; a task takes blocks of at most `block` vectors and `block` queries of one bucket."""
+    are searched, or as many more as `tests` queries need to find the share `recall` of their true neighbours;
+    a task takes blocks of at most `block` vectors and `block` queries of one bucket."""
 
     k: int = 20
     tables: int = 8
@@ -35,6 +37,8 @@ class Index:
     per_bucket: int = 256
     block: int = 4096
     seed: int = 7
+    tests: int = 64
+    recall: float = 0.95
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -108,7 +112,63 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def _hashed(frame: DataFrame, sizes: dict[int, tuple[int, float]], index: Index, query: bool) -> DataFrame:
+def probes_for(q: np.ndarray, of: np.ndarray, x: np.ndarray, n: int, top: float, index: Index) -> int:
+    """Probes with which the rows of q find the share index.recall of their neighbours: x, row `of` of q each.
+    At the latest with all buckets probed, every neighbour is found."""
+    parts = layout(n, q.shape[1], index.per_bucket)
+    most = math.prod(2 * axes for axes in parts)
+    asked, held = _unit(q, top, True), _unit(x, top, False)
+    homes = [buckets(held, t, parts, index.seed, 1) for t in range(index.tables)]
+    probes = index.probes
+    while probes < most:
+        found = np.zeros(len(x), dtype=bool)
+        for t in range(index.tables):
+            found |= (buckets(asked, t, parts, index.seed, probes)[of] == homes[t]).any(axis=1)
+        if found.sum() >= index.recall * len(x):
+            return probes
+        probes = probes * 5 // 4 + 1
+    return max(most, 1)
+
+
+def _probes(candidates: DataFrame, questions: DataFrame, sizes: dict[int, tuple[int, float]],
+            index: Index) -> dict[int, int]:
+    """Probes for each dimension, by the true neighbours of at most index.tests queries of it."""
+    mix = F.xxhash64("vid")
+    tests = questions.groupBy("dim", F.pmod(mix, index.tests).alias("slot")).agg(
+        F.min(F.struct(mix.alias("mix"), "vid", "v")).alias("q")).select("dim", "q.v").collect()
+    asked = {dim: _matrix(pd.Series([r["v"] for r in tests if r["dim"] == dim])) for dim in {r["dim"] for r in tests}}
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, rows in batch.groupby("dim"):
+                if int(dim) not in asked:
+                    continue
+                q, x, ids = asked[int(dim)], _matrix(rows["v"]), rows["vid"].to_numpy()
+                score = q @ x.T
+                near = np.argpartition(-score, min(index.k, len(x) - 1), axis=1)[:, :index.k + 1]
+                yield pd.DataFrame({
+                    "dim": int(dim), "test": np.repeat(np.arange(len(q)), near.shape[1]), "vid": ids[near].ravel(),
+                    "score": np.take_along_axis(score, near, axis=1).ravel()})
+
+    rank = F.row_number().over(Window.partitionBy("dim", "test").orderBy(F.col("score").desc(), "vid"))
+    near = candidates.select("vid", "dim", "v").mapInPandas(best, "dim int, test int, vid long, score double").withColumn(
+        "r", rank).where(F.col("r") <= index.k + 1)
+    near = candidates.select("vid", "v").join(F.broadcast(near), "vid").select("dim", "test", "v").collect()  # bounded
+    out = {}
+    for dim, (n, top) in sizes.items():
+        out[dim] = index.probes
+        if dim in asked:
+            q = asked[dim]
+            of = np.array([r["test"] for r in near if r["dim"] == dim])
+            x = _matrix(pd.Series([r["v"] for r in near if r["dim"] == dim]))
+            other = (q[of] != x).any(axis=1)  # a query finds its own vector anyway
+            if other.any():
+                out[dim] = probes_for(q, of[other], x[other], n, top, index)
+    return out
+
+
+def _hashed(frame: DataFrame, sizes: dict[int, tuple[int, float]], index: Index,
+            probes: dict[int, int] | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, rows in batch.groupby("dim"):
@@ -116,9 +176,9 @@ def _hashed(frame: DataFrame, sizes: dict[int, tuple[int, float]], index: Index,
                 parts = layout(n, int(dim), index.per_bucket)
                 for s in range(0, len(rows), 2048):
                     some = rows.iloc[s:s + 2048]
-                    unit = _unit(_matrix(some["v"]), top, query)
+                    unit = _unit(_matrix(some["v"]), top, probes is not None)
                     for t in range(index.tables):
-                        codes = buckets(unit, t, parts, index.seed, index.probes if query else 1)
+                        codes = buckets(unit, t, parts, index.seed, probes[int(dim)] if probes else 1)
                         m = codes.shape[1]
                         yield pd.DataFrame({
                             "dim": int(dim), "tab": t, "code": codes.ravel(), "vid": np.repeat(some["vid"].to_numpy(), m),
@@ -175,8 +235,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, index: Index | None = None)
         F.count("*").alias("n"), F.max(norm).alias("top")).collect()}  # one row per dimension
     questions = questions.where(F.col("dim").isin(*sizes) if sizes else F.lit(False))
 
-    postings = _hashed(candidates, sizes, index, False)
-    probes = _hashed(questions, sizes, index, True)
+    postings = _hashed(candidates, sizes, index)
+    probes = _hashed(questions, sizes, index, _probes(candidates, questions, sizes, index))
     key = ["dim", "tab", "code"]
     counts = postings.groupBy(*key).agg(F.count("*").alias("x")).join(
         probes.groupBy(*key).agg(F.count("*").alias("q")), key)
