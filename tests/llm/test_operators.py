@@ -147,6 +147,18 @@ def test_nearest_probes_grow_with_the_table(spark):
     assert recall_of(got, x, range(0, 6000, 40), 10) >= 0.9
 
 
+def test_nearest_with_unequal_norms(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 64))[rng.integers(0, 40, 5000)] + 0.7 * rng.normal(size=(5000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[0] *= 20
+    x[4000:4500] *= rng.uniform(0.01, 3, size=(500, 1))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    small = cross_polytope.Index(k=10, per_bucket=64, probes=2, tests=1)
+    got = found_by(cross_polytope.nearest(frame, frame.where("vec_id % 40 = 0"), small).collect())
+    assert recall_of(got, x, range(0, 5000, 40), 10) >= 0.9
+
+
 def test_trie_scores(docs, texts, empty):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}

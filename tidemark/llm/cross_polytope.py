@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product with cross-polytope hashing.
 
-Inner products become angles by one more coordinate: x is scaled by the largest norm M and filled up
-to length one, a query is scaled to length one with 0 there. A hash of a table is the nearest signed
+Vectors are split into bands of similar norm, each with its own scale, tables and buckets; queries search
+every band and the best of all are kept. In a band inner products become angles by one more coordinate: x
+is scaled by the band's largest norm M and filled up to length one, a query is scaled to length one with 0 there. A hash of a table is the nearest signed
 axis after a pseudo-rotation (three rounds of random signs and a Hadamard transform); several such
 hashes make a bucket when there are many vectors. Queries also look into the next nearest buckets; how
 many grows with the table, until test queries find their true neighbours (by brute force) often enough.
@@ -41,6 +42,15 @@ class Index:
     recall: float = 0.95
 
 
+@dataclass(frozen=True)
+class Band:
+    """n vectors of one dimension with norms up to top, and how many probes a query takes there."""
+
+    n: int
+    top: float
+    probes: int
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows, scaled to keep lengths."""
     n, width, h = x.shape[0], x.shape[1], 1
@@ -91,7 +101,8 @@ def buckets(x: np.ndarray, table: int, parts: list[int], seed: int, probes: int)
 
 def _unit(v: np.ndarray, top: float, query: bool) -> np.ndarray:
     out = np.zeros((len(v), padded_width(v.shape[1])))
-    norm = np.sqrt((v * v).sum(axis=1))
+    most = np.abs(v).max(axis=1, keepdims=True)  # no square over- or underflows
+    norm = most[:, 0] * np.sqrt(((v / most) ** 2).sum(axis=1))
     if query:
         out[:, :v.shape[1]] = v / norm[:, None]
     else:
@@ -130,9 +141,9 @@ def probes_for(q: np.ndarray, of: np.ndarray, x: np.ndarray, n: int, top: float,
     return max(most, 1)
 
 
-def _probes(candidates: DataFrame, questions: DataFrame, sizes: dict[int, tuple[int, float]],
-            index: Index) -> dict[int, int]:
-    """Probes for each dimension, by the true neighbours of at most index.tests queries of it."""
+def _probed(candidates: DataFrame, questions: DataFrame, sizes: dict[tuple[int, int], tuple[int, float]],
+            index: Index) -> dict[tuple[int, int], Band]:
+    """The bands by (dim, band), with probes by the true neighbours of at most index.tests queries a dimension."""
     mix = F.xxhash64("vid")
     tests = questions.groupBy("dim", F.pmod(mix, index.tests).alias("slot")).agg(
         F.min(F.struct(mix.alias("mix"), "vid", "v")).alias("q")).select("dim", "q.v").collect()
@@ -152,48 +163,59 @@ def _probes(candidates: DataFrame, questions: DataFrame, sizes: dict[int, tuple[
 
     rank = F.row_number().over(Window.partitionBy("dim", "test").orderBy(F.col("score").desc(), "vid"))
     near = candidates.select("vid", "dim", "v").mapInPandas(best, "dim int, test int, vid long, score double").withColumn(
-        "r", rank).where(F.col("r") <= index.k + 1)
-    near = candidates.select("vid", "v").join(F.broadcast(near), "vid").select("dim", "test", "v").collect()  # bounded
+        "r", rank).where(F.col("r") <= index.k + 1).select("test", "vid")
+    near = candidates.join(F.broadcast(near), "vid").select("dim", "band", "test", "v").collect()  # k + 1 a test
     out = {}
-    for dim, (n, top) in sizes.items():
-        out[dim] = index.probes
-        if dim in asked:
-            q = asked[dim]
-            of = np.array([r["test"] for r in near if r["dim"] == dim])
-            x = _matrix(pd.Series([r["v"] for r in near if r["dim"] == dim]))
+    for (dim, band), (n, top) in sizes.items():
+        probes, mine = index.probes, [r for r in near if (r["dim"], r["band"]) == (dim, band)]
+        if mine:
+            q, of, x = asked[dim], np.array([r["test"] for r in mine]), _matrix(pd.Series([r["v"] for r in mine]))
             other = (q[of] != x).any(axis=1)  # a query finds its own vector anyway
             if other.any():
-                out[dim] = probes_for(q, of[other], x[other], n, top, index)
+                probes = probes_for(q, of[other], x[other], n, top, index)
+        out[dim, band] = Band(n, top, probes)
     return out
 
 
-def _hashed(frame: DataFrame, sizes: dict[int, tuple[int, float]], index: Index,
-            probes: dict[int, int] | None = None) -> DataFrame:
+HASHED = "dim int, band int, tab int, code long, vid long"
+
+
+def _codes(rows: pd.DataFrame, dim: int, band: int, own: Band, index: Index, query: bool) -> Iterator[pd.DataFrame]:
+    """Rows of one dimension with their buckets of one band; a band of one bucket needs one table."""
+    parts = layout(own.n, dim, index.per_bucket)
+    for s in range(0, len(rows), 2048):
+        some = rows.iloc[s:s + 2048]
+        unit = _unit(_matrix(some["v"]), own.top, query)
+        for t in range(index.tables if parts else 1):
+            codes = buckets(unit, t, parts, index.seed, own.probes if query else 1)
+            m = codes.shape[1]
+            yield pd.DataFrame({
+                "dim": dim, "band": band, "tab": t, "code": codes.ravel(), "vid": np.repeat(some["vid"].to_numpy(), m),
+                "v": some["v"].repeat(m).to_numpy()})
+
+
+def _hashed(frame: DataFrame, bands: dict[tuple[int, int], Band], index: Index, query: bool) -> DataFrame:
+    """Vectors with their bucket in each table of their band; queries with their buckets in those of every band."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, rows in batch.groupby("dim"):
-                n, top = sizes[int(dim)]
-                parts = layout(n, int(dim), index.per_bucket)
-                for s in range(0, len(rows), 2048):
-                    some = rows.iloc[s:s + 2048]
-                    unit = _unit(_matrix(some["v"]), top, probes is not None)
-                    for t in range(index.tables):
-                        codes = buckets(unit, t, parts, index.seed, probes[int(dim)] if probes else 1)
-                        m = codes.shape[1]
-                        yield pd.DataFrame({
-                            "dim": int(dim), "tab": t, "code": codes.ravel(), "vid": np.repeat(some["vid"].to_numpy(), m),
-                            "v": some["v"].repeat(m).to_numpy()})
+            if query:
+                for dim, rows in batch.groupby("dim"):
+                    for (d, band), own in bands.items():
+                        if d == dim:
+                            yield from _codes(rows, d, band, own, index, True)
+            else:
+                for (dim, band), rows in batch.groupby(["dim", "band"]):
+                    yield from _codes(rows, int(dim), int(band), bands[dim, band], index, False)
 
     kind = frame.schema["v"].dataType.elementType.simpleString()
-    return frame.select("vid", "dim", "v").mapInPandas(
-        run, f"dim int, tab int, code long, vid long, v array<{kind}>")
+    return frame.mapInPandas(run, f"{HASHED}, v array<{kind}>")
 
 
 def _chunked(rows: DataFrame, counts: DataFrame, own: str, other: str, block: int) -> DataFrame:
     """Rows with their chunk of the bucket, once for every chunk of the other side."""
     n, m = F.ceil(F.col(own) / block).cast("int"), F.ceil(F.col(other) / block).cast("int")
-    return rows.join(counts, ["dim", "tab", "code"]).select(
-        "dim", "tab", "code", "vid", "v", F.pmod(F.xxhash64("vid"), n).cast("int").alias(f"{own}_chunk"),
+    return rows.join(counts, ["dim", "band", "tab", "code"]).select(
+        "dim", "band", "tab", "code", "vid", "v", F.pmod(F.xxhash64("vid"), n).cast("int").alias(f"{own}_chunk"),
         F.explode(F.sequence(F.lit(0), m - 1)).alias(f"{other}_chunk"))
 
 
@@ -228,16 +250,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, index: Index | None = None)
 
     every = settled(distinct(vectors, keep))
     asked = settled(distinct(queries, None))
-    candidates = every.where("r = 1").select(F.col("vec_id").alias("vid"), "dim", "v")
+    most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / F.col("most"), 2)))
+    # Bands of norms within a factor of the square root of 2; norms near 1 lie in the middle of one.
+    candidates = every.where("r = 1").select(F.col("vec_id").alias("vid"), "dim", "v", most.alias("most")).select(
+        "vid", "dim", "v", (norm * F.col("most")).alias("norm"),
+        F.floor((F.log2(norm) + F.log2("most")) * 2 + 0.5).cast("int").alias("band"))
     questions = asked.where("r = 1").select(F.col("vec_id").alias("vid"), "dim", "v")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    sizes = {r["dim"]: (r["n"], r["top"] * (1 + 1e-12)) for r in candidates.groupBy("dim").agg(
-        F.count("*").alias("n"), F.max(norm).alias("top")).collect()}  # one row per dimension
-    questions = questions.where(F.col("dim").isin(*sizes) if sizes else F.lit(False))
-
-    postings = _hashed(candidates, sizes, index)
-    probes = _hashed(questions, sizes, index, _probes(candidates, questions, sizes, index))
-    key = ["dim", "tab", "code"]
+    sizes = {(r["dim"], r["band"]): (r["n"], r["top"] * (1 + 1e-12)) for r in candidates.groupBy("dim", "band").agg(
+        F.count("*").alias("n"), F.max("norm").alias("top")).collect()}  # one row per dimension and band
+    candidates = candidates.drop("norm")
+    dims = sorted({dim for dim, _ in sizes})
+    questions = questions.where(F.col("dim").isin(*dims) if dims else F.lit(False))
+
+    bands = _probed(candidates, questions, sizes, index)
+    postings = _hashed(candidates, bands, index, False)
+    probes = _hashed(questions, bands, index, True)
+    key = ["dim", "band", "tab", "code"]
     counts = postings.groupBy(*key).agg(F.count("*").alias("x")).join(
         probes.groupBy(*key).agg(F.count("*").alias("q")), key)
     left = _chunked(postings, counts, "x", "q", index.block)
