@@ -277,6 +277,22 @@ def test_repeated_passages(docs, texts, empty):
     assert gear_chunks.repeated_passages(empty).count() == 0
 
 
+def test_every_planted_passage_is_whole(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(120):
+        passage = [f"p{i}é{rng.randrange(10 ** rng.randrange(1, 6))}" for _ in range(25 + i % 36)]
+        for doc in (2 * i, 2 * i + 1):
+            before, after = words(rng, rng.randrange(40), 10 ** 6), words(rng, rng.randrange(40), 10 ** 6)
+            start = len(" ".join([*before, ""]))
+            rows.append((doc, " ".join(before + passage + after), "en", "s", 1, 0.0, "x"))
+            size = len(" ".join(passage))
+            want[doc] = (start, start + size, len(passage), 2 * i, size * (doc % 2))
+    found = gear_chunks.repeated_passages(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert {r["doc_id"]: (r["start"], r["end"], r["n_words"], r["first_doc"], r["dup_chars"]) for r in found} == want
+    assert len(found) == len(want)
+
+
 PATTERNS = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
