@@ -346,6 +346,24 @@ def test_main_text(spark):
     assert html_segment.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("place", ["leading", "middle", "trailing"])
+def test_main_text_keeps_lists_tables_and_sides_of_boxes(place):
+    menu = "<nav><ul>" + "<li><a href='/x'>Home</a></li>" * 9 + "</ul></nav>"
+    paragraphs = [f"<p>Paragraph {i} of the text, which is long enough to be read.</p>" for i in (1, 2)]
+    labelled = [f"<html><body>{menu}<article><h1>T {i}</h1>{''.join(paragraphs)}</article><footer>f</footer></body></html>"
+                for i in range(20)]
+    weights = html_segment.learn(labelled)
+    points = "<ul>" + "".join(f"<li>point {i}</li>" for i in range(8)) + "</ul>"
+    cells = "<table>" + "".join(f"<tr><td>name{i}</td><td>{i}</td></tr>" for i in range(6)) + "</table>"
+    box = "<div class='share'><ul>" + "<li><a href='/s'>x</a></li>" * 30 + "</ul></div>"
+    for extra in (points, cells, box):
+        body = list(paragraphs)
+        body.insert({"leading": 0, "middle": 1, "trailing": 2}[place], extra)
+        page = f"<html><body>{menu}<div id='content'><h2>Top</h2>{''.join(body)}</div><footer>f</footer></body></html>"
+        want = " ".join(["Top", *re.sub("<[^>]*>", " ", "".join(body).replace(box, "")).split()])
+        assert html_segment.main_text(page, weights).split() == want.split()
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(6)
     items = [words(rng, n, 5000) for n in (40, 30, 16, 8)]

@@ -87,14 +87,16 @@ def spans(page: str) -> Iterator[Span]:
         name = (m[3] or "").lower()
         if not name:
             continue
-        if m[2]:  # a closing tag closes up to its opening one, if that is open
+        if m[2]:  # a closing tag closes up to its opening one, if that is open, and is out where that is
+            out = bool(stack) and stack[-1][1]
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    out = stack[k][1]
                     del stack[k:]
                     break
                 if stack[k][0] in _WALLS and name not in _WALLS:
                     break
-            yield Span("/" + name, "", _block(stack), bool(stack) and stack[-1][1])
+            yield Span("/" + name, "", _block(stack), out)
             continue
         if name in _IMPLIED:  # p, li, td, ... end where the next begins
             ends, walls = _IMPLIED[name]
@@ -139,9 +141,11 @@ def region(parts: list[Span], weights: Weights) -> tuple[int, int]:
     """The slice of largest total score; of equal ones the earliest, then the shortest."""
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     for k, p in enumerate(parts):
+        if p.out:  # a neutral gap
+            continue
         if p.tag:
             total += weights.tags.get(_weighed(p.tag.lstrip("/")), weights.tag)
-        elif not p.out:
+        else:
             total += weights.words.get(_weighed(p.block), weights.word) * len(p.text.split())
         if total > best:
             best, best_at = total, (begin, k + 1)
@@ -177,14 +181,17 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def counts_of(page: str) -> Counter:
-    """(kind, name, inside) counts of a page whose content is marked by an article or main element."""
+    """(kind, name, inside) counts of a page whose content is marked by an article or main element; what lies
+    in blocks that never are content counts on neither side."""
     out: Counter = Counter()
     depth = 0
     for p in spans(page):
         name = p.tag.lstrip("/")
         if name in ("article", "main"):
             depth = max(0, depth + (-1 if p.tag[0] == "/" else 1))
-        inside = depth > 0 and not p.out and name not in ("article", "main")
+        if p.out:
+            continue
+        inside = depth > 0 and name not in ("article", "main")
         if p.tag:
             out["tag", _weighed(name), inside] += 1
         else:
@@ -194,21 +201,22 @@ def counts_of(page: str) -> Counter:
 
 def learn(pages: Iterable[str | None]) -> Weights:
     """Weights from pages whose content an article or main element marks: log-odds with one pseudo-count
-    a side, kept positive for words and negative for tags. No labelled page: the defaults."""
+    a side, kept positive for words and negative for tags; a tag on neither side weighs as little as any. No
+    labelled page: the defaults."""
     total: Counter = Counter()
     for page in pages:
         if page and re.search(r"<(article|main)[\s>]", page, re.I):
             total.update(counts_of(page))
 
     def odds(kind: str, name: str) -> float:
-        sides = {i: sum(n for (k, _, j), n in total.items() if k == kind and j == i) for i in (True, False)}
-        return math.log((total[kind, name, True] + 1) / (sides[True] + 1)) - math.log(
-            (total[kind, name, False] + 1) / (sides[False] + 1))
+        return math.log((total[kind, name, True] + 1) / (total[kind, name, False] + 1))
 
+    if not total:
+        return Weights()
     names = {k: {n for kind, n, _ in total if kind == k} for k in ("word", "tag")}
     return Weights(
         {n: min(3.0, max(0.05, odds("word", n))) for n in names["word"]},
-        {n: max(-6.0, min(-0.25, odds("tag", n))) for n in names["tag"]})
+        {n: max(-6.0, min(-0.25, odds("tag", n))) for n in names["tag"]}, tag=-0.25)
 
 
 def labelled_sample(pages: DataFrame, n: int) -> list[str]:
