@@ -326,6 +326,23 @@ def test_pii_patterns_and_field(spark, docs, empty):
     assert pii_crf.personal_data(empty).count() == 0 and pii_crf.masked(empty).count() == 0
 
 
+def test_every_labelled_span_is_found():
+    lines = pii_crf.labelled_lines()
+    for words_, labels in lines:
+        text = " ".join(words_)
+        base, added = pii_crf.find([text])[0]
+        at = 0
+        for word, label in zip(words_, labels, strict=True):
+            assert not label or any(s < at + len(word) and at < e for _, s, e in [*base, *added]), text
+            at += len(word) + 1
+    for form in ("anna.berg at example.org", "joe (At) example.com", "joe {at} example.com", "joe [AT] example.com",
+                 "dead:beef::cafe:face"):
+        _, added = pii_crf.find([f"the address {form} is known"])[0]
+        assert added, form
+    for text in ("he met her at noon. Then they left at once", "have a look at example.com for more"):
+        assert pii_crf.find([text])[0] == ([], [])
+
+
 def test_main_text(spark):
     body = "<p>First &amp; long paragraph of the text here.</p><p>Second\n one <b>bold</b> too.</p>"
     menu = "<nav><ul><li><a href='/x'>Home</a><li>News</ul></nav>"

@@ -2,8 +2,8 @@
 
 The field labels white-space words over word-shape features. It is trained by maximum likelihood on
 a small table of labelled lines and decoded by Viterbi, all chains of a batch at once in numpy.
-Words with a digit, an at sign or an obfuscated at sign, and two words on each side, form the chains;
-other words are outside by definition. Spans of the field that touch no pattern span are added.
+Words with a digit, an at sign, several colons or an at sign written out in any case and brackets, and two
+words on each side, form the chains; other words are outside by definition. Spans of the field that touch no pattern span are added.
 """
 
 from __future__ import annotations
@@ -55,7 +55,16 @@ call us at [phone 1-800-555-0199] any day
 dial [phone 202.555.0147] for help
 host [ip 2001:db8:85a3::8a2e:370:7334] did not answer
 from [ip fe80::1ff:fe23:4567:890a] port 22
+ask [email max (AT) firm.example] about it
+send [email eva (AT) mail.example.org] a note
+here [email tom (At) shop.example] is in charge
 server [ip 2001:db8::1] is down
+host [ip fe80::abcd:ef] did not answer
+the host [ip dead:beef::cafe:face] is down
+it came from [ip abcd:ef::dead:beef] today
+and [ip fd:cafe::babe:face] in the log
+[ip feed:beef::abba:cafe] then sent it
+the type std::vector::value and a::b::c of it
 in 2019 there were 345 of them and 12 more
 the year 1998 saw 40,000 visitors in 3 towns
 chapter 12 page 345 line 7 has it
@@ -155,7 +164,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- features ---------------------------------------------------------------------------------
 
 _SPACES = re.compile(r"[^\x20\x09-\x0D]+")
-_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|AT|dot|DOT)[)\]]|(?<![^\x20\x09-\x0D])AT(?![^\x20\x09-\x0D])")
+_TRIGGER = re.compile(
+    r"[0-9@]|[(\[{<](?:at|dot)[)\]}>]|:[a-f]*:[a-f:]*"
+    r"|(?<![^\x20\x09-\x0D])at(?=[\x20\x09-\x0D]+[a-z0-9-]+(?:\.[a-z0-9]|[\x20\x09-\x0D]+[(\[{<]?dot(?![a-z])))"
+    r"|(?<![^\x20\x09-\x0D])(?-i:AT)(?![^\x20\x09-\x0D])", re.I)
+_HEX = re.compile(r"(?=.*::|(?:[^:]*:){7})[0-9A-Fa-f:]*[0-9A-Fa-f][0-9A-Fa-f:]*[.,;)]*")
+_BRACKETS = str.maketrans("[]{}<>", "()()()")
 _SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"},
                         **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
 _RUN = re.compile(r"(.)\1{4,}", re.S)
@@ -164,12 +178,13 @@ _RUN = re.compile(r"(.)\1{4,}", re.S)
 @lru_cache(maxsize=100_000)
 def word_features(word: str) -> tuple[str, ...]:
     """Names of a word's shape features."""
+    word = word.translate(_BRACKETS)
     shape = _RUN.sub(lambda m: m[1] * 4 + "*", word.translate(_SHAPE))[:24]
     bare = re.sub(r"(.)\1+", r"\1", shape)
     digits = sum(c in "0123456789" for c in word)
     low = word.lower() if len(word) <= 12 and not digits else ""
     return ("s=" + shape, "b=" + bare, f"d={min(digits, 9)}", f"l={min(len(word), 20) // 2}", "w=" + low,
-            f"c={word.count(':') > 2}{'@' in word}{word.count('.')}{word.count('-')}{'/' in word}",
+            f"c={bool(_HEX.fullmatch(word))}{'@' in word}{word.count('.')}{word.count('-')}{'/' in word}",
             "e=" + shape[-2:], "f=" + shape[:2])
 
 
