@@ -8,6 +8,7 @@ only the block itself needs again travels on beside them under a negative slot.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -161,3 +162,11 @@ def id_array(ids: list) -> tuple[np.ndarray, np.ndarray]:
     """Ids as 64-bit integers and which of them are null."""
     null = np.array([i is None for i in ids], dtype=bool)
     return np.array([0 if i is None else i for i in ids], dtype=np.int64), null
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written once as Parquet in the shared folder and read again: columns that a later pass does
+    not use are not read by it. The files live as long as the folder, like checkpoints."""
+    path = f"{shared_folder(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

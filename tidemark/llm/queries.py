@@ -19,6 +19,7 @@ from tidemark.llm import (
     pii_crf,
     site_bayes,
     spaced_seeds,
+    vector_codes,
 )
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,10 +81,54 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_sum_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_prefix_targets, op2_cross_polytope, op3_ngram_trie, op4_speculative_bpe, op5_site_bayes,
-        op6_jaccard_tiles, op7_gear_chunks, op8_pii_crf, op9_main_text, op10_spaced_seeds)}
+        op6_jaccard_tiles, op7_gear_chunks, op8_pii_crf, op9_main_text, op10_spaced_seeds,
+        op11_sum_bounds)}
+
+#: One assignment of every part to its nearest entry of a codebook, and the codebook of its means.
+_ASSIGN = """
+a{r} as (
+    select p.vec_id, p.part, min({{'d': {d}, 'e': b.entry}}) as best from p join b{r} b using (part) group by 1, 2
+)"""
+_AVERAGE = """
+b{s} as (
+    select b.part, b.entry, {means} from b{r} b left join (
+        select p.part, a.best.e as entry, count(*) as c, {sums} from p join a{r} a using (vec_id, part) group by 1, 2
+    ) m using (part, entry)
+)"""
+_DISTANCE = " + ".join(f"(p.x{k} - b.x{k}) * (p.x{k} - b.x{k})" for k in range(4))
+_SUMS = ", ".join(f"sum(p.x{k})::hugeint as s{k}" for k in range(4))
+_MEANS = ", ".join(
+    f"coalesce(((m.s{k} - ((m.s{k} % m.c) + m.c) % m.c) // m.c)::bigint, b.x{k}) as x{k}" for k in range(4))
+
+#: Vectors of 64 components in 16 parts, 64 entries, two rounds.
+_CODES = f"""
+with kept as (
+    select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as v,
+        row_number() over (order by vec_id) as k
+    from embeddings where embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), p as (
+    select vec_id, k, part, {", ".join(f"v[part * 4 + {k + 1}] as x{k}" for k in range(4))}
+    from kept, (select unnest(range(16)) as part)
+), b0 as (
+    select part, k - 1 as entry, x0, x1, x2, x3 from p where k <= 64
+), {_ASSIGN.format(r=0, d=_DISTANCE)}, {_AVERAGE.format(r=0, s=1, means=_MEANS, sums=_SUMS)},
+{_ASSIGN.format(r=1, d=_DISTANCE)}, {_AVERAGE.format(r=1, s=2, means=_MEANS, sums=_SUMS)},
+{_ASSIGN.format(r=2, d=_DISTANCE)}, coded as (
+    select vec_id, string_agg(printf('%02x', best.e), '' order by part) as code, sum(best.d)::bigint as error
+    from a2 group by vec_id
+), book as (
+    select sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' order by part, entry)) as codebooks_sha256 from b2
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from coded join kept using (vec_id), book"""
 
 ORACLES: dict[str, str] = {
     "op1_prefix_targets": r"""
@@ -122,4 +167,5 @@ with v as (
     select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
 )
 select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20""",
+    "op11_sum_bounds": _CODES,
 }
