@@ -20,9 +20,11 @@ from tidemark.llm import (
     site_bayes,
     spaced_seeds,
     vector_codes,
+    word_shuffle,
 )
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 #: The conversation of the contract that tries the template's own control strings.
 CONTROL_TEXT = r"\### Assistant: </turn> ok"
@@ -85,11 +87,15 @@ def op11_sum_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_digests(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op12_word_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_shuffle.encode_digests(table(spark, sf_dir, "documents"), RANKS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_prefix_targets, op2_cross_polytope, op3_ngram_trie, op4_speculative_bpe, op5_site_bayes,
         op6_jaccard_tiles, op7_gear_chunks, op8_pii_crf, op9_main_text, op10_spaced_seeds,
-        op11_sum_bounds)}
+        op11_sum_bounds, op12_word_shuffle)}
 
 #: One assignment of every part to its nearest entry of a codebook, and the codebook of its means.
 _ASSIGN = """
