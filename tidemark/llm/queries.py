@@ -16,6 +16,7 @@ from tidemark.llm import (
     html_segment,
     jaccard_tiles,
     ngram_trie,
+    phrase_tries,
     pii_crf,
     site_bayes,
     spaced_seeds,
@@ -91,11 +92,15 @@ def op12_word_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_shuffle.encode_digests(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op13_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_tries.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_prefix_targets, op2_cross_polytope, op3_ngram_trie, op4_speculative_bpe, op5_site_bayes,
         op6_jaccard_tiles, op7_gear_chunks, op8_pii_crf, op9_main_text, op10_spaced_seeds,
-        op11_sum_bounds, op12_word_shuffle)}
+        op11_sum_bounds, op12_word_shuffle, op13_phrase_tries)}
 
 #: One assignment of every part to its nearest entry of a codebook, and the codebook of its means.
 _ASSIGN = """
@@ -174,4 +179,35 @@ with v as (
 )
 select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20""",
     "op11_sum_bounds": _CODES,
+    "op13_phrase_tries": r"""
+with pieces as (
+    select lang, p, row_number() over () as id from (
+        select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents)
+), words as (
+    select lang, list_filter(string_split_regex(p, '[ \t]+'), lambda w: w <> '') as w from pieces
+), total as (
+    select lang, sum(len(w)) as n from words group by lang
+), counted as (
+    select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, w[i:i + k - 1] as list, count(*) as f
+    from (select lang, w, unnest(range(1, len(w) + 1)) as i from words), (select unnest(range(1, 6)) as k)
+    where i + k - 1 <= len(w) group by all having count(*) >= 100
+), stay as (
+    select * from counted c where k > 1 and not exists (
+        select 1 from counted d where d.k = c.k + 1 and d.lang = c.lang and d.f >= c.f and (
+            d.list[1:c.k] = c.list or d.list[2:c.k + 1] = c.list))
+), cut as (
+    select s.lang, s.phrase, s.f as a, x, array_to_string(list[1:x], ' ') as head, array_to_string(list[x + 1:], ' ') as tail
+    from stay s, (select unnest(range(1, 5)) as x) where x < s.k
+), scored as (
+    select c.lang, c.phrase, c.a, h.f as l, t.f as r, n, x,
+        ((1000::hugeint * c.a * n) // (h.f::hugeint * t.f)) as score
+    from cut c join counted h on h.lang = c.lang and h.phrase = c.head
+        join counted t on t.lang = c.lang and t.phrase = c.tail join total on total.lang = c.lang
+), best as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, x) = 1
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase,
+    a, l, r, n::bigint as n, score::bigint as score
+from best qualify rank <= 2000""",
 }
