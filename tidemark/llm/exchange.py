@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.text import by_size, give_back, lean, lean_group, small_batches
 
 BLOCK_CHARS = 6 << 20
+ROW_GROUP_BYTES = 16 << 20
 FIELDS = 6
 ROW = "slot int, block long, part int, " + ", ".join(f"f{i} binary" for i in range(FIELDS))
 COLUMNS = ["slot", "block", "part", *[f"f{i}" for i in range(FIELDS)]]
@@ -107,8 +108,9 @@ def own_row(n: int, block: int, *fields: bytes) -> tuple:
     return row(-1 - block % n, block, -1, *fields)
 
 
-def blocks(docs: DataFrame, make: Callable[[int, list, list], Iterator[tuple]], *extra: str) -> DataFrame:
-    """make(block number, ids, texts, ...) -> rows, over blocks of about BLOCK_CHARS characters.
+def blocks(docs: DataFrame, make: Callable[[int, list, list], Iterator[tuple]], *extra: str,
+           chars: int = BLOCK_CHARS) -> DataFrame:
+    """make(block number, ids, texts, ...) -> rows, over blocks of about `chars` characters.
 
     Block numbers hold the task's partition number, so a task that runs again makes the same blocks.
     """
@@ -120,7 +122,7 @@ def blocks(docs: DataFrame, make: Callable[[int, list, list], Iterator[tuple]],
             for batch in batches:
                 yield from zip(*(batch[c].to_numpy(dtype=object) for c in batch.columns), strict=True)
 
-        for i, group in enumerate(by_size(rows(), lambda r: len(r[1]) if isinstance(r[1], str) else 0, BLOCK_CHARS)):
+        for i, group in enumerate(by_size(rows(), lambda r: len(r[1]) if isinstance(r[1], str) else 0, chars)):
             ids = [None if r[0] is None or r[0] != r[0] else int(r[0]) for r in group]
             texts = [r[1] if isinstance(r[1], str) else None for r in group]
             others = [[r[k] for r in group] for k in range(2, 2 + len(extra))]
@@ -168,5 +170,6 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame written once as Parquet in the shared folder and read again: columns that a later pass does
     not use are not read by it. The files live as long as the folder, like checkpoints."""
     path = f"{shared_folder(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    # Small row groups: a writer holds one in memory, and rows may be packed blocks of megabytes.
+    frame.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

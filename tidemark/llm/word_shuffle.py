@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 
 from tidemark.llm.exchange import (
@@ -34,13 +35,13 @@ from tidemark.llm.exchange import (
     buckets_for,
     id_array,
     own_row,
-    pack,
     row,
-    unpack,
 )
 from tidemark.llm.text import lean, small_batches, span_hashes, to_ints
 
 BUCKET_BYTES = 32 << 20
+BLOCK_CHARS = 12 << 20
+LEVEL = 9
 PIECE_CHARS = 1 << 20
 WIDE = 48
 ROWS_AT_ONCE = 16_384
@@ -49,6 +50,17 @@ NEVER = np.int32(2 ** 31 - 1)
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
+def pack(values: np.ndarray) -> bytes:
+    """32-bit or 64-bit integers compressed, byte planes apart: what travels is mostly these."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 class Ranks:
     """A vocabulary of token bytes by rank: merges the adjacent pair of lowest rank first, leftmost of equals."""
 
@@ -128,20 +140,27 @@ class Ranks:
         return out
 
     def _merge_grid(self, ids: np.ndarray) -> None:
-        """Merge all rows in place, one merge a row and round; -1 fills the ends."""
-        live, column = np.arange(len(ids)), np.arange(ids.shape[1])
-        while len(live) and ids.shape[1] > 1:
-            own = ids[live]
-            made = self.pair(own[:, :-1].ravel(), own[:, 1:].ravel()).reshape(len(own), -1)
+        """Merge all rows in place, one merge a row and round; -1 fills the ends. A merge changes two pairs."""
+        width = ids.shape[1]
+        live, column = np.arange(len(ids)), np.arange(width)
+        made = self.pair(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1) if width > 1 else None
+        while len(live) and width > 1:
             best = made.argmin(axis=1)
-            token = made[np.arange(len(own)), best]
+            token = made[np.arange(len(live)), best]
             on = token < NEVER
-            live, own, best, token = live[on], own[on], best[on], token[on]
-            own[np.arange(len(own)), best] = token
-            source = np.minimum(column[None, :] + (column[None, :] > best[:, None]), ids.shape[1] - 1)
-            own = np.take_along_axis(own, source, axis=1)
+            live, made, best, token = live[on], made[on], best[on], token[on]
+            rows, own = np.arange(len(live)), ids[live]
+            own[rows, best] = token
+            later = column[None, :] > best[:, None]
+            own = np.take_along_axis(own, np.minimum(column[None, :] + later, width - 1), axis=1)
             own[:, -1] = -1
             ids[live] = own
+            made = np.take_along_axis(made, np.minimum(column[None, :-1] + later[:, :-1], width - 2), axis=1)
+            made[:, -1] = NEVER
+            right = np.minimum(best, width - 2)
+            made[rows, right] = self.pair(own[rows, right], own[rows, right + 1])
+            left = np.maximum(best - 1, 0)
+            made[rows, left] = self.pair(own[rows, left], own[rows, left + 1])
 
     def merge_long(self, word: bytes) -> bytes:
         """One long word by a heap of pairs over linked parts: n log n for n bytes."""
@@ -228,8 +247,8 @@ def _exploded(n: int, pattern: str) -> Callable[[int, list, list], Iterator[tupl
         begins = np.flatnonzero(np.diff(bucket[sequence], prepend=-1))
         for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(sequence)], strict=True):
             at = sequence[a:b]
-            yield row(int(bucket[at[0]]), block, int(bucket[at[0]]), lengths[at].astype("<u4").tobytes(),
-                      b"".join(map(words.__getitem__, at.tolist())))
+            yield row(int(bucket[at[0]]), block, int(bucket[at[0]]), pack(lengths[at].astype("<u4")),
+                      zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(map(words.__getitem__, at.tolist()))))
 
     return make
 
@@ -247,15 +266,14 @@ def _encoded(frame: DataFrame, path: str) -> DataFrame:
                     continue
                 if r[0] != slot:
                     slot, known = r[0], {}
-                ends = np.cumsum(np.frombuffer(r[3], "<u4").astype(np.int64))
-                data = r[4]
+                ends, data = np.cumsum(unpack(r[3], "<u4").astype(np.int64)), zstandard.ZstdDecompressor().decompress(r[4])
                 words = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 new = [w for w in words if w not in known]
                 if new:
                     known.update(zip(new, ranks.encode_words(new), strict=True))
                 answers = [known[w] for w in words]
-                out.append(row(r[0], r[1], r[2], np.fromiter(map(len, answers), "<u4", len(answers)).tobytes(),
-                               b"".join(answers)))
+                out.append(row(r[0], r[1], r[2], pack(np.fromiter(map(len, answers), "<u4", len(answers))),
+                               pack(np.frombuffer(b"".join(answers), "<u4"))))
             yield pd.DataFrame(out, columns=COLUMNS)
 
     return frame.repartition("slot").sortWithinPartitions("slot").mapInPandas(run, ROW)
@@ -265,8 +283,8 @@ def _reassembled(own: tuple, answers: list[tuple]) -> tuple[list[int | None], li
     """Document ids of a block and the token ids of each document, in order."""
     ids, null = unpack(own[0], "<i8"), np.frombuffer(own[1], dtype=bool)
     counts, bucket, order = unpack(own[2], "<u4"), unpack(own[3], "<u4"), unpack(own[4], "<u4").astype(np.int64)
-    lengths = np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(a[0], "<u4") for a in answers]]).astype(np.int64) // 4
-    tokens = np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(a[1], "<u4") for a in answers]])
+    lengths = np.concatenate([np.zeros(0, "<u4"), *[unpack(a[0], "<u4") for a in answers]]).astype(np.int64) // 4
+    tokens = np.concatenate([np.zeros(0, "<u4"), *[unpack(a[1], "<u4") for a in answers]])
     begin = np.zeros(len(bucket), dtype=np.int64)  # of each distinct word's ids among the answers
     size = np.zeros(len(bucket), dtype=np.int64)
     sequence = np.argsort(bucket, kind="stable")
@@ -289,7 +307,7 @@ def _by_document(docs: DataFrame, path: str, pattern: str, give: Callable[[list,
     def finish(own: tuple, answers: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(give(*_reassembled(own, answers)))
 
-    return at_blocks(_encoded(blocks(docs, _exploded(n, pattern)), path), finish, schema)
+    return at_blocks(_encoded(blocks(docs, _exploded(n, pattern), chars=BLOCK_CHARS), path), finish, schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
