@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import vocab as V
 from tidemark.operators import merge as G
 from tidemark.operators import news_features as N
 from tidemark.operators import windows as W
+from tidemark.operators.news_cutoff import news_rows_at
 from tidemark.queries import inputs as I
 from tidemark.queries import log_inputs as L
 from tidemark.queries import news_queries as NQ
@@ -219,3 +221,58 @@ def live_news_rows(spark, sf):
     joined = G.join_news(bar_windows(spark, sf), NQ.features(spark, sf))
     return joined.select("article_id", F.col("news_missing").alias("synthetic"), N.STATE,
                          r("news_avg_sentiment").alias("news_avg_sentiment"), "news_article_count")
+
+
+# Point-in-time news: each window's own articles, joined one by one; averages in closed form.
+cte("cut_art", """
+SELECT w.article_id AS wid, w.prediction_mode AS wmode, a.prediction_mode AS amode, c.session_index AS s, a.* EXCLUDE (article_id, prediction_mode)
+FROM bar_windows w JOIN art_mode a ON a.ticker = w.ticker AND a.published_at_utc < w.published_at_utc AND a.published_at_utc >= w.published_at_utc - INTERVAL 90 DAY
+JOIN cal c ON c.date = a.date AND c.is_session""")
+cte("cut_span", "SELECT wid, min(s) AS f, max(s) AS l FROM cut_art GROUP BY wid")
+cte("cut_agg", f"""
+SELECT wid, s, {', '.join(f'{v} AS {k}' for k, v in NQ._agg.items())} FROM cut_art WHERE amode = wmode GROUP BY wid, s""")
+cte("cut_target", """
+SELECT w.article_id AS wid, k.slot, p.f, p.l, CASE WHEN k.slot = 0 THEN c.session_index ELSE least(c.session_index - 1, p.l) - (k.slot - 1) END AS t
+FROM bar_windows w JOIN cal c ON c.date = w.pdate AND c.is_session JOIN cut_span p ON p.wid = w.article_id, (VALUES (0), (1), (2)) k(slot)""")
+_cut_events = " + ".join(f"g.news_event_count_{e}" for e in V.EVENT_TYPES)
+
+
+def _closed(span: int) -> str:
+    a, q = 2 / (span + 1), 1 - 2 / (span + 1)
+    return (f"coalesce(sum(CASE WHEN g.s = x.f THEN 1.0::DOUBLE ELSE {a!r}::DOUBLE END * pow({q!r}::DOUBLE, x.t - g.s) "
+            "* g.news_weighted_sentiment_score), 0)")
+
+
+cte("cut_rolled", f"""
+SELECT x.wid, x.slot, x.t, x.t BETWEEN x.f AND x.l AS here, max(g.s) AS src,
+  {', '.join(f"CAST(coalesce(sum(g.news_article_count) FILTER (g.s > x.t - {k}), 0) AS DOUBLE) AS news_volume_{k}d, CAST(coalesce(sum({_cut_events}) FILTER (g.s > x.t - {k}), 0) AS DOUBLE) AS news_event_count_{k}d" for k in (1, 3, 5))},
+  coalesce(sum(g.news_weighted_sentiment_score) FILTER (g.s = x.t), 0) AS news_sentiment_1d, {_closed(3)} AS news_sentiment_3d, {_closed(5)} AS news_sentiment_5d
+FROM cut_target x LEFT JOIN cut_agg g ON g.wid = x.wid AND g.s <= x.t GROUP BY ALL""")
+_cut_values = ", ".join(
+    f"CASE WHEN r.here AND r.src IS NOT NULL THEN g.{c} * pow(0.7::DOUBLE, r.t - r.src) ELSE 0 END AS {c}" if c in N.DECAYED_COLUMNS
+    else f"CASE WHEN r.here AND r.src = r.t THEN CAST(g.{c} AS DOUBLE) ELSE 0 END AS {c}" for c in NQ.AGG_COLUMNS)
+_cut_rolling = ", ".join(f"CASE WHEN r.here THEN r.{c} ELSE 0 END AS {c}" for c in N.ROLLING_COLUMNS)
+_flag = "CAST(coalesce({}, false) AS INTEGER)::DOUBLE AS {}".format
+_heavy = "r.here AND r.src = r.t AND g.news_fallback_article_ratio > 0.5"
+cte("cut_rows", f"""
+SELECT r.wid, r.slot, r.here, {_cut_values}, {_cut_rolling},
+  {_flag('NOT (r.here AND r.src IS NOT NULL)', 'news_zero_flag')}, {_flag('r.here AND r.src < r.t', 'news_carried_flag')},
+  {_flag('r.here AND r.src IS NOT NULL', 'has_news_signal')}, {_flag('r.here AND r.src < r.t', 'carried_forward_signal')},
+  {_flag(_heavy, 'degraded_news_context')}, {_flag('r.here AND r.src = r.t', 'has_fresh_news')},
+  {_flag('r.here AND r.src < r.t', 'is_carried_forward')}, {_flag(_heavy, 'is_fallback_heavy')},
+  CASE WHEN {_heavy} THEN 'fallback_heavy' WHEN r.here AND r.src = r.t THEN 'fresh_news'
+       WHEN r.here AND r.src < r.t THEN 'carried_forward_only' ELSE 'zero_news' END AS news_signal_state
+FROM cut_rolled r LEFT JOIN cut_agg g ON g.wid = r.wid AND g.s = r.src""")
+
+
+@query("news_at_cutoff", "F13 L8 T10 J13", f"""
+SELECT w.article_id, NOT coalesce(a.here, false) AS synthetic, coalesce(a.news_signal_state, 'zero_news') AS news_signal_state,
+  {', '.join(f"{rnd(f'coalesce(a.{c}, {1 if c == 'news_zero_flag' else 0})')} AS {c}" for c in N.NEWS_COLUMNS)},
+  {', '.join(f"{rnd(f'CASE WHEN x{k}.here THEN x{k}.{c} ELSE 0 END')} AS {c}_lag{k}" for k in (1, 2) for c in _lag_cols)}
+FROM bar_windows w LEFT JOIN cut_rows a ON a.wid = w.article_id AND a.slot = 0
+LEFT JOIN cut_rows x1 ON x1.wid = w.article_id AND x1.slot = 1 LEFT JOIN cut_rows x2 ON x2.wid = w.article_id AND x2.slot = 2""")
+def news_at_cutoff(spark, sf):
+    """Every window's 72 news columns and lags, from the articles of the 90 days before its own cutoff."""
+    out = news_rows_at(bar_windows(spark, sf), I.extractions(spark, sf), I.calendar(spark), NQ.S, I.MARKET, 90, (1, 2), _lag_cols)
+    return out.select("article_id", F.col("news_missing").alias("synthetic"), N.STATE, *[r(c).alias(c) for c in (
+        *N.NEWS_COLUMNS, *[f"{c}_lag{k}" for k in (1, 2) for c in _lag_cols])])
