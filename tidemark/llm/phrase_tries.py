@@ -29,6 +29,9 @@ from tidemark.llm.exchange import blocks, pack, pack_sorted, row, unpack, unpack
 from tidemark.llm.text import join_texts, lean, mix, span_hashes
 
 BITMAP_BITS = 25
+RANGE_BITS = 8
+CHUNK = 4096
+MERGE_AT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -133,25 +136,139 @@ def _hits(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
 
 
-def frequent_pairs(streams: DataFrame, bitmap: np.ndarray, least: int) -> DataFrame:
-    """(key0, key1, f) of adjacent frequent words that occur at least `least` times together."""
+def _adjacent(r: dict, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a block, and the distinct adjacent pairs of frequent words in it with their counts."""
+    keys, order = _keys(r["keys"]), unpack(r["order"], "<u4").astype(np.int64)
+    good = np.append(_hits(bitmap, keys), False)[order]
+    at = np.flatnonzero(good[:-1] & good[1:])
+    pairs, n = np.unique(order[at] << 32 | order[at + 1], return_counts=True)
+    return keys, pairs >> 32, pairs & 0xFFFFFFFF, n
+
+
+def _pair_slot(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(first * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def crowded_slots(streams: DataFrame, bitmap: np.ndarray, total: int, least: int) -> tuple[np.ndarray, int]:
+    """Hash slots whose pairs together occur at least `least` times, as packed bits, and log2 of their number.
+
+    A frequent pair's slot is always among them. There is about a slot for eight words of the corpus, at most
+    2^28 (32 MB of bits); with more words than that more rare pairs pass, to be counted by their keys.
+    """
+    bits = min(28, max(20, (total // 8).bit_length()))
+    width = 1 << (bits - RANGE_BITS)
     sent = streams.sparkSession.sparkContext.broadcast(bitmap)
 
     @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys, order = _keys(r["keys"]), unpack(r["order"], "<u4").astype(np.int64)
-                good = np.append(_hits(sent.value, keys), False)[order]
-                at = np.flatnonzero(good[:-1] & good[1:])
-                pairs, n = np.unique(order[at] << 32 | order[at + 1], return_counts=True)
-                signed = keys.view(np.int64)
+                keys, a, b, n = _adjacent(r, sent.value)
+                slots, where = np.unique(_pair_slot(keys[a], keys[b], bits), return_inverse=True)
+                sums = np.minimum(np.bincount(where, weights=n, minlength=len(slots)), least).astype("<u4")
+                cuts = np.searchsorted(slots, np.arange((1 << RANGE_BITS) + 1) * width)
+                rows = [(i, pack(np.diff(slots[x:y], prepend=i * width).astype("<u4")), pack(sums[x:y]))
+                        for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed[pairs >> 32]), pa.array(signed[pairs & 0xFFFFFFFF]), pa.array(n)],
-                    names=["key0", "key1", "f"])
+                    [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]],
+                    names=["range", "steps", "counts"])
 
-    pairs = streams.select("keys", "order").mapInArrow(run, "key0 long, key1 long, f long")
-    return pairs.groupBy("key0", "key1").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    @lean
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bits_of(i: int, sums: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([np.packbits(sums >= least).tobytes()], pa.binary())], names=["range", "bits"])
+
+        here, sums = None, np.zeros(width, dtype=np.int64)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["range"] != here:
+                    if here is not None:
+                        yield bits_of(here, sums)
+                    here, sums = r["range"], np.zeros(width, dtype=np.int64)
+                sums[np.cumsum(unpack(r["steps"], "<u4"), dtype=np.int64)] += unpack(r["counts"], "<u4")
+        if here is not None:
+            yield bits_of(here, sums)
+
+    parts = streams.select("keys", "order").mapInArrow(spread, "range int, steps binary, counts binary").repartition(
+        "range").sortWithinPartitions("range").mapInArrow(merged, "range int, bits binary").collect()  # one row a range
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for part in parts:
+        out[part["range"] * width // 8:(part["range"] + 1) * width // 8] = np.frombuffer(part["bits"], np.uint8)
+    return out, bits
+
+
+def _packed(first: np.ndarray, second: np.ndarray, n: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Counted pairs of 64-bit values as one row per hash range that gets any."""
+    with np.errstate(over="ignore"):
+        hashed = mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
+    part = ((hashed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    rows = [(int(part[at[0]]), pack(first[at]), pack(second[at]), pack(n[at].astype("<i8")))
+            for at in np.split(order, cuts[1:]) if len(at)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)]],
+        names=["range", "first", "second", "f"])
+
+
+def _frequent(packed: DataFrame, least: int) -> DataFrame:
+    """(first, second, f) of pairs whose counts sum to `least`. A range's task merges rows as they come and holds the
+    range's distinct pairs."""
+    def sums(parts: list[tuple]) -> tuple:
+        first, second, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.lexsort((second, first))
+        first, second, n = first[order], second[order], n[order]
+        new = np.append(True, (np.diff(first) != 0) | (np.diff(second) != 0))
+        return first[new], second[new], np.add.reduceat(n, np.flatnonzero(new))
+
+    def enough(parts: list[tuple]) -> pa.RecordBatch:
+        first, second, n = sums(parts)
+        on = n >= least
+        return pa.RecordBatch.from_arrays(
+            [pa.array(first[on].view(np.int64)), pa.array(second[on].view(np.int64)), pa.array(n[on])],
+            names=["first", "second", "f"])
+
+    @lean
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts, held = None, [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["range"] != here and parts:
+                    yield enough(parts)
+                    parts, held = [], 0
+                here = r["range"]
+                parts.append((unpack(r["first"], "<u8"), unpack(r["second"], "<u8"), unpack(r["f"], "<i8")))
+                held += len(parts[-1][0])
+                if held > MERGE_AT and len(parts) > 1 and held > 2 * len(parts[0][0]):
+                    parts = [sums(parts)]
+                    held = len(parts[0][0])
+        if parts:
+            yield enough(parts)
+
+    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(merged, "first long, second long, f long")
+
+
+PACKED = "range long, first binary, second binary, f binary"
+
+
+def frequent_pairs(streams: DataFrame, bitmap: np.ndarray, total: int, least: int, ranges: int) -> DataFrame:
+    """(key0, key1, f) of adjacent frequent words that occur at least `least` times together."""
+    crowded, bits = crowded_slots(streams, bitmap, total, least)
+    sent = streams.sparkSession.sparkContext.broadcast((bitmap, crowded))
+
+    @lean
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, a, b, n = _adjacent(r, sent.value[0])
+                slot = _pair_slot(keys[a], keys[b], bits)
+                on = (sent.value[1][slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+                yield _packed(keys[a[on]], keys[b[on]], n[on], ranges)
+
+    rows = _frequent(streams.select("keys", "order").mapInArrow(spread, PACKED), least)
+    return rows.select(F.col("first").alias("key0"), F.col("second").alias("key1"), "f")
 
 
 class DoubleArray:
@@ -200,11 +317,14 @@ class DoubleArray:
         order = np.lexsort((codes, parents))
         begins = np.flatnonzero(np.diff(parents[order], prepend=-1))
         groups = np.split(order, begins[1:]) if len(order) else []
-        out, cursor = np.zeros(len(parents), dtype=np.int32), 1
+        out, at = np.zeros(len(parents), dtype=np.int32), 0
+        for g in sorted((g for g in groups if len(g) >= 8), key=len, reverse=True):
+            at = self._fit(codes[g], max(0, at - 64))  # smaller groups come later and leave few holes to look for
+            out[g] = self._put(int(parents[g[0]]), at, codes[g])
+        few = [g for g in groups if 1 < len(g) < 8]
+        if few:
+            self._scatter(few, parents, codes, out)
         alone = [g for g in groups if len(g) == 1]
-        for g in sorted((g for g in groups if len(g) > 1), key=len, reverse=True):
-            cursor, base = self._fit(codes[g], cursor)
-            out[g] = self._put(int(parents[g[0]]), base, codes[g])
         if alone:  # a single child fits wherever one place is free
             at = np.concatenate(alone)
             self._grow(len(self.base) + self.size + len(at))
@@ -215,9 +335,27 @@ class DoubleArray:
             self._grow(len(self.base))
         return out
 
-    def _fit(self, codes: np.ndarray, cursor: int, step: int = 512) -> tuple[int, int]:
-        """The first base at which all places are free, searched from the cursor; and where to search next time."""
-        at = max(0, cursor - int(codes.min()))
+    def _scatter(self, groups: list[np.ndarray], parents: np.ndarray, codes: np.ndarray, out: np.ndarray) -> None:
+        """Place small groups all at once at pseudo-random bases, again and again those that met a taken place."""
+        rng, room = np.random.default_rng(len(self.base)), 2 * self.size + 4 * sum(map(len, groups))
+        while groups:
+            self._grow(room + self.size)
+            sizes = np.array([len(g) for g in groups])
+            at, number = np.concatenate(groups), np.repeat(np.arange(len(groups)), sizes)
+            bases = rng.integers(0, room, len(groups))
+            places = bases[number] + codes[at]
+            claim = np.full(len(self.check), len(groups), dtype=np.int64)
+            np.minimum.at(claim, places, number)
+            lost = np.bincount(number[(self.check[places] != -1) | (claim[places] != number)], minlength=len(groups)) > 0
+            won = ~lost[number]
+            self.check[places[won]], self.parent_code[places[won]] = parents[at[won]], codes[at[won]]
+            self.base[parents[at[won]]], out[at[won]] = bases[number[won]], places[won]
+            groups = [g for g, again in zip(groups, lost.tolist(), strict=True) if again]
+            room += room // 4
+        self._grow(len(self.base))
+
+    def _fit(self, codes: np.ndarray, at: int, step: int = 512) -> int:
+        """The first base from `at` on at which all places are free."""
         while True:
             self._grow(at + step + self.size)
             bases = np.arange(at, at + step)
@@ -228,11 +366,8 @@ class DoubleArray:
                     break
             found = np.flatnonzero(free)
             if len(found):
-                base = int(bases[found[0]])
-                return (cursor + step // 2 if found[0] > step // 2 and len(codes) < 8 else cursor), base
+                return int(bases[found[0]])
             at += step
-            if len(codes) < 8:
-                cursor += step
 
     def _put(self, parent: int, base: int, codes: np.ndarray) -> np.ndarray:
         places = base + codes
@@ -295,7 +430,7 @@ def _tries(phrases: DataFrame, k: int, most: int) -> Iterator[tuple[DoubleArray,
         yield trie, states, parts == 1
 
 
-def _extensions(streams: DataFrame, trie: DoubleArray, whole: bool, k: int, least: int) -> DataFrame:
+def _extensions(streams: DataFrame, trie: DoubleArray, whole: bool, k: int, least: int, ranges: int) -> DataFrame:
     """(key0 .. key<k-1>, f) of windows of k words whose first k - 1 words are a phrase of the trie, at least `least`
     times. Where the trie holds all phrases, the last k - 1 words must be one as well."""
     sent = streams.sparkSession.sparkContext.broadcast(trie)
@@ -316,22 +451,19 @@ def _extensions(streams: DataFrame, trie: DoubleArray, whole: bool, k: int, leas
                 if whole:
                     good &= dense[at + 1] >= 0
                 pairs, n = np.unique(states[good].astype(np.int64) << 32 | order[last[good]], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((pairs >> 32).astype(np.int32)), pa.array(keys.view(np.int64)[pairs & 0xFFFFFFFF]),
-                     pa.array(n)], names=["state", "key", "f"])
+                yield _packed((pairs >> 32).astype(np.uint64), keys[pairs & 0xFFFFFFFF], n, ranges)
 
     @lean
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_of = sent.value.key_by_code()
         for batch in batches:
-            paths = np.array([sent.value.words_of(x) for x in batch.column("state").to_pylist()], dtype=np.int64)
+            paths = np.array([sent.value.words_of(x) for x in batch.column("first").to_pylist()], dtype=np.int64)
             paths = key_of[paths.reshape(batch.num_rows, k - 1)].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(paths[:, i]) for i in range(k - 1)], batch.column("key"), batch.column("f")],
+                [*[pa.array(paths[:, i]) for i in range(k - 1)], batch.column("second"), batch.column("f")],
                 names=[*[f"key{i}" for i in range(k)], "f"])
 
-    rows = streams.select("keys", "order").mapInArrow(run, "state int, key long, f long")
-    rows = rows.groupBy("state", "key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    rows = _frequent(streams.select("keys", "order").mapInArrow(run, PACKED), least)
     return rows.mapInArrow(spelled, ", ".join(f"key{i} long" for i in range(k)) + ", f long")
 
 
@@ -351,17 +483,28 @@ def _counted(streams: DataFrame, trie: DoubleArray, states: np.ndarray, names: d
                 codes = np.append(here.code_of(_keys(r["keys"])), np.int32(0))[unpack(r["order"], "<u4")]
                 for _, at in here.walk(codes, longest):
                     total += np.bincount(at, minlength=len(total))
-        at = np.flatnonzero(accept & (total > 0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["state", "f"])
+        total = total[accept]  # accepting states in their order
+        chunks = [i for i in range(0, len(total), CHUNK) if total[i:i + CHUNK].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i // CHUNK for i in chunks], pa.int32()),
+             pa.array([pack(total[i:i + CHUNK]) for i in chunks], pa.binary())], names=["chunk", "counts"])
 
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, _, spelling = sent.value
+    @lean
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, accept, spelling = sent.value
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            words = [[spelling[c] for c in here.words_of(s)] for s in batch["state"].tolist()]
-            yield pd.DataFrame({"lang": [w[0][0] for w in words], "words": [[x for _, x in w] for w in words], "f": batch["f"]})
+            for chunk, counts in zip(batch["chunk"].tolist(), batch["counts"], strict=True):
+                values = unpack(counts, "<i8")
+                sums[chunk] = sums[chunk] + values if chunk in sums else values.copy()
+        states = np.flatnonzero(accept)
+        for chunk, counts in sums.items():
+            own = states[chunk * CHUNK:(chunk + 1) * CHUNK]
+            words = [[spelling[c] for c in here.words_of(x)] for x in own.tolist()]
+            yield pd.DataFrame({"lang": [w[0][0] for w in words], "words": [[x for _, x in w] for w in words], "f": counts})
 
-    counts = streams.select("keys", "order").mapInArrow(count, "state int, f long").groupBy("state").agg(F.sum("f").alias("f"))
-    return counts.mapInPandas(named, "lang string, words array<string>, f long")
+    shards = streams.select("keys", "order").mapInArrow(count, "chunk int, counts binary")
+    return shards.repartition("chunk").mapInPandas(summed, "lang string, words array<string>, f long")
 
 
 def _together(frames: list[DataFrame]) -> DataFrame:
@@ -385,9 +528,11 @@ def frequent_phrases(docs: DataFrame, settings: Settings | None = None) -> tuple
         F.col("f") >= settings.least), "words")
     if words.groupBy("key").count().where("count > 1").limit(1).count():
         raise ValueError("two frequent words share a 64-bit key")
-    levels = [written(frequent_pairs(streams, key_bitmap(words), settings.least), "pairs")]
+    total = totals.agg(F.sum("n")).collect()[0][0] or 0
+    ranges = max(1 << RANGE_BITS, total >> 19)  # grow with the corpus
+    levels = [written(frequent_pairs(streams, key_bitmap(words), total, settings.least, ranges), "pairs")]
     for k in range(3, settings.longest + 1):
-        longer = [written(_extensions(streams, trie, whole, k, settings.least), f"phrases{k}")
+        longer = [written(_extensions(streams, trie, whole, k, settings.least, ranges), f"phrases{k}")
                   for trie, _, whole in _tries(levels[-1], k - 1, settings.most)]
         if not longer:
             break
