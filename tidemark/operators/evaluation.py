@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import decisions as D
 from tidemark.functions import vocab as V
 from tidemark.operators import metrics as M
+from tidemark.operators.contracts import guarded, one_row_per_key
 from tidemark.operators.merge import MERGE_KEYS
 from tidemark.operators.news_features import signal_state
 from tidemark.operators.price_features import LABEL
@@ -87,7 +88,12 @@ def align_baseline(enhanced: DataFrame, baseline: DataFrame) -> DataFrame:
         F.col("raw_predicted_probability_up").alias(f"{ENHANCED}_raw_predicted_probability_up"),
         F.col("calibrated_predicted_probability_up").alias(f"{ENHANCED}_predicted_probability_up"),
     )
-    return left.join(side, list(PRICE_KEYS), "left")
+    return left.join(one_row_per_key(side, list(PRICE_KEYS), "baseline rows"), list(PRICE_KEYS), "left")
+
+
+def alignment_rules() -> dict:
+    """What a row without exactly its own baseline partner breaks."""
+    return {"unmatched": F.col("baseline_label").isNull(), "label_mismatch": F.col("baseline_label") != F.col(LABEL)}
 
 
 def alignment_violations(aligned: DataFrame) -> DataFrame:
@@ -120,7 +126,7 @@ def evaluation_frame(enhanced: DataFrame, baseline: DataFrame, threshold: float
     The blend is labelled at 0.5 here. Content quality and gap counts are not part of
     this frame, so they count as absent in the quality score.
     """
-    joined = align_baseline(enhanced, baseline).drop("baseline_label")
+    joined = guarded(align_baseline(enhanced, baseline), alignment_rules(), "baseline rows").drop("baseline_label")
     weight = D.news_context_weight(
         "news_article_count", "news_avg_confidence", "has_fresh_news", "is_fallback_heavy", "is_carried_forward")
     out = joined.withColumn("news_context_weight", weight)

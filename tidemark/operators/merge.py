@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.contracts import one_row_per_key
 from tidemark.operators.news_features import NEWS_COLUMNS, STATE
 from tidemark.operators.price_features import LABEL, with_lags
 from tidemark.settings import KEYS, MODES, ModelSettings, PriceSettings
@@ -99,10 +101,11 @@ def expand_modes(price_rows: DataFrame, modes: tuple[str, ...] = MODES) -> DataF
 def join_news(expanded: DataFrame, news: DataFrame, columns: tuple[str, ...] = NEWS_COLUMNS) -> DataFrame:
     """Left join of the mode rows with their news row; absent news becomes zeros.
 
-    Both sides are unique on the key (checked by the table contracts), so the join is
-    one-to-one. `news_missing` marks rows without a news row.
+    One-to-one: a news key that occurs twice fails the join, by a guard on the rows that the
+    join's own shuffle brings together. `news_missing` marks rows without a news row.
     """
     side = news.withColumnRenamed("date", "prediction_date").select(*NEWS_JOIN, STATE, *columns)
+    side = one_row_per_key(side, list(NEWS_JOIN), "news rows")
     joined = expanded.join(side.withColumn("_hit", F.lit(True)), list(NEWS_JOIN), "left")
     return joined.withColumns({
         "news_missing": F.col("_hit").isNull(),
@@ -169,11 +172,25 @@ def evaluation_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col("split").isin("validation", "test"))
 
 
+def _not_finite(c: str):
+    value = F.col(c).cast("double")
+    return value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+
+
+def training_rules(keys: tuple[str, ...], features: tuple[str, ...], label: str = LABEL) -> dict:
+    """Row rules of a training table, for `contracts.observed` and `contracts.guarded`."""
+    return {
+        "non_finite_feature": reduce(lambda a, b: a | b, [_not_finite(c) for c in features], F.lit(False)),
+        "empty_key": F.greatest(*[F.col(k).isNull() for k in keys]),
+        "invalid_close": _not_finite("close") | (F.col("close") <= 0),
+        "invalid_volume": _not_finite("volume") | (F.col("volume") < 0),
+        "non_binary_label": F.col(label).isNull() | ~F.col(label).isin(0, 1),
+    }
+
+
 def training_contract(df: DataFrame, keys: tuple[str, ...], features: tuple[str, ...], label: str = LABEL) -> DataFrame:
     """Violation counts of a training table, one (rule, violations) row per rule."""
-    def broken(c: str):
-        value = F.col(c).cast("double")
-        return value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    broken = _not_finite
 
     bad_features = F.lit(0)
     for c in features:

@@ -302,11 +302,8 @@ def build_news_features(articles: DataFrame, calendar: DataFrame, s: NewsSetting
     return carry_forward(grid, s).withColumn(STATE, signal_state()).select(*IDENTITY, STATE, *NEWS_COLUMNS)
 
 
-def extraction_contract(rows: DataFrame) -> DataFrame:
-    """Violation counts of a scored-article table, one (rule, violations) row per rule.
-
-    Ids are counted by a two-step aggregate, so a repeated id costs one row per task.
-    """
+def extraction_rules(rows: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Scored articles in normal form and the rules that a row can break by itself."""
     norm = rows.select(
         safe_text(F.col("article_id")).alias("article_id"),
         *[enum_text(F.col(c)).alias(c) for c in ("sentiment_label", "directional_bias", "event_type", "extraction_mode")],
@@ -323,6 +320,15 @@ def extraction_contract(rows: DataFrame) -> DataFrame:
         checks[f"invalid_{c}"] = F.col(c).isNull()
         checks[f"out_of_range_{c}"] = (F.col(c) < low) | (F.col(c) > high)
     checks["invalid_warning_flag"] = F.col("warning_flag").isNull()
+    return norm, checks
+
+
+def extraction_contract(rows: DataFrame) -> DataFrame:
+    """Violation counts of a scored-article table, one (rule, violations) row per rule.
+
+    Ids are counted by a two-step aggregate, so a repeated id costs one row per task.
+    """
+    norm, checks = extraction_rules(rows)
     per_id = norm.groupBy("article_id").agg(
         F.count(F.lit(1)).alias("_n"), *[F.count_if(v).alias(k) for k, v in checks.items()])
     total = per_id.agg(
@@ -333,8 +339,8 @@ def extraction_contract(rows: DataFrame) -> DataFrame:
     return total.selectExpr(f"stack({len(names)}, {pairs}) as (rule, violations)")
 
 
-def news_feature_contract(features: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
-    """Violation counts of a news feature table, one (rule, violations) row per rule."""
+def news_feature_rules(modes: tuple[str, ...] = MODES) -> dict[str, Column]:
+    """The rules that a row of the news feature table can break by itself."""
     checks = {
         "empty_identity": F.greatest(*[F.col(c).isNull().cast("int") for c in IDENTITY]) == 1,
         "unsupported_mode": ~F.col("prediction_mode").isin(*modes),
@@ -346,6 +352,12 @@ def news_feature_contract(features: DataFrame, modes: tuple[str, ...] = MODES) -
     for c in FLOAT_COLUMNS:
         low, high = feature_range(c)
         checks[f"invalid_{c}"] = F.col(c).isNull() | F.isnan(c) | (F.col(c) < low) | (F.col(c) > high)
+    return checks
+
+
+def news_feature_contract(features: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """Violation counts of a news feature table, one (rule, violations) row per rule."""
+    checks = news_feature_rules(modes)
     per_key = features.groupBy(*IDENTITY).agg(
         F.count(F.lit(1)).alias("_n"), *[F.count_if(v).alias(k) for k, v in checks.items()])
     total = per_key.agg(

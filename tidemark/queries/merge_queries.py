@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import contracts as C
 from tidemark.operators import merge as G
 from tidemark.operators import news_features as N
 from tidemark.operators import price_features as P
@@ -130,3 +131,39 @@ def training_contract(spark, sf):
     rows = PQ.rows(spark, sf).withColumn(
         "volume", F.when(F.col("volume") > 200, -F.col("volume")).otherwise(F.col("volume")))
     return G.training_contract(rows, ("date", *KEYS), ("ret_1d", "ma_20", "macd_signal"))
+
+
+_TRAINING_RULES = ("non_finite_feature", "empty_key", "invalid_close", "invalid_volume", "non_binary_label", "duplicate_key")
+_EXTRACTION_RULES = ("empty_article_id", "unsupported_sentiment_label", "unsupported_event_type", "invalid_confidence_score",
+                     "out_of_range_sentiment_score", "invalid_warning_flag")
+
+
+@query("observed_contracts", "J4 F4 F6", """
+SELECT 'training' AS table_name, rule, CASE rule WHEN 'row_count' THEN (SELECT count(*) FROM pf_rows) + (SELECT count(*) FROM pf_rows WHERE volume > 200)
+    WHEN 'invalid_volume' THEN 2 * (SELECT count(*) FROM pf_rows WHERE volume > 200)
+    WHEN 'duplicate_key' THEN (SELECT count(*) FROM pf_rows WHERE volume > 200)
+    WHEN 'non_binary_label' THEN (SELECT count(*) FILTER (target_next_day_direction IS NULL) + count(*) FILTER (target_next_day_direction IS NULL AND volume > 200) FROM pf_rows)
+    WHEN 'invalid_close' THEN (SELECT count(*) FILTER (close IS NULL) + count(*) FILTER (close IS NULL AND volume > 200) FROM pf_rows)
+    WHEN 'non_finite_feature' THEN (SELECT count(*) + count(*) FILTER (volume > 200) FROM pf_rows WHERE ret_1d IS NULL OR ma_20 IS NULL OR macd_signal IS NULL)
+    ELSE 0 END AS violations
+FROM (SELECT unnest(['row_count', 'non_finite_feature', 'empty_key', 'invalid_close', 'invalid_volume', 'non_binary_label', 'duplicate_key']) AS rule)
+UNION ALL SELECT 'extractions', 'row_count', count(*) FROM extractions
+UNION ALL SELECT 'extractions', 'empty_article_id', count(*) FILTER (k % 113 = 0) FROM extractions
+UNION ALL SELECT 'extractions', 'unsupported_sentiment_label', count(*) FILTER (k % 103 = 0) FROM extractions
+UNION ALL SELECT 'extractions', 'unsupported_event_type', count(*) FILTER (k % 109 = 0) FROM extractions
+UNION ALL SELECT 'extractions', 'invalid_confidence_score', count(*) FILTER (k % 97 = 0) FROM extractions
+UNION ALL SELECT 'extractions', 'out_of_range_sentiment_score', count(*) FILTER (k % 89 = 0) FROM extractions
+UNION ALL SELECT 'extractions', 'invalid_warning_flag', count(*) FILTER (k % 101 = 0) FROM extractions""")
+def observed_contracts(spark, sf):
+    """Damaged training rows and articles pass through a write once; the rules are counted on the way."""
+    damaged = PQ.rows(spark, sf).withColumn(
+        "volume", F.when(F.col("volume") > 200, -F.col("volume")).otherwise(F.col("volume")))
+    doubled = C.with_copies(damaged.unionByName(damaged.where("volume < 0")), ["date", *KEYS])
+    rules = G.training_rules(("date", *KEYS), ("ret_1d", "ma_20", "macd_signal")) | {"duplicate_key": C.duplicate_rule()}
+    training, seen = C.observed(doubled, rules)
+    training.write.format("noop").mode("overwrite").save()
+    norm, checks = N.extraction_rules(NQ._dirty(spark, sf))
+    articles, counted = C.observed(norm, checks)
+    articles.write.format("noop").mode("overwrite").save()
+    shown = {k: v for k, v in counted.get.items() if k in ("row_count", *_EXTRACTION_RULES)}
+    return C.as_rows(damaged, seen.get, "training").unionByName(C.as_rows(damaged, shown, "extractions"))
