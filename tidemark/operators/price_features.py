@@ -105,13 +105,15 @@ def technical_features(bars: DataFrame, s: PriceSettings = PriceSettings()) -> D
 
 def with_lags(df: DataFrame, columns: tuple[str, ...], lags: tuple[int, ...],
               partition: tuple[str, ...] = KEYS, order: str = "date", fill: float | None = None) -> DataFrame:
+    """`<column>_lag<k>` of every column. The columns travel through the window as one struct, looked back at once per lag."""
     w = Window.partitionBy(*partition).orderBy(order)
+    looked = df.withColumns({f"_back{k}": F.lag(F.struct(*columns), k).over(w) for k in lags})
 
     def lagged(c: str, k: int) -> Column:
-        value = F.lag(c, k).over(w)
+        value = F.col(f"_back{k}.{c}")
         return value if fill is None else F.coalesce(value, F.lit(fill))
 
-    return df.withColumns({f"{c}_lag{k}": lagged(c, k) for k in lags for c in columns})
+    return looked.withColumns({f"{c}_lag{k}": lagged(c, k) for k in lags for c in columns}).drop(*[f"_back{k}" for k in lags])
 
 
 def with_label(df: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -382,3 +382,31 @@ SELECT prediction_mode, count(*) AS row_count, count(*) FILTER (disagreement) AS
 FROM compared GROUP BY prediction_mode""")
 def comparison_summary(spark, sf):
     return EV.comparison_summary(compared(spark, sf)).withColumn("disagreement_rate", r("disagreement_rate"))
+
+
+cte("iso_tied", """
+SELECT prediction_mode, raw_e AS x, count(*) AS w, sum(y) AS s
+FROM enh_pred WHERE split = 'validation' GROUP BY ALL""")
+cte("iso_sums", """
+SELECT *, sum(w) OVER m AS n1, sum(s) OVER m AS s1, row_number() OVER m AS i FROM iso_tied
+WINDOW m AS (PARTITION BY prediction_mode ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+# The fit at i: over all starts a <= i the largest of the least mean of a..b, b >= i.
+cte("iso_means", """
+SELECT a.prediction_mode, a.i AS a, b.i AS b, (b.s1 - a.s1 + a.s)::DOUBLE / (b.n1 - a.n1 + a.w) AS mean
+FROM iso_sums a JOIN iso_sums b ON a.prediction_mode = b.prediction_mode AND a.i <= b.i""")
+cte("iso_least", """
+SELECT prediction_mode, a, b AS i, min(mean) OVER (PARTITION BY prediction_mode, a ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS least
+FROM iso_means""")
+cte("iso_fit", "SELECT prediction_mode, i, max(least) AS fitted FROM iso_least GROUP BY ALL")
+
+
+@query("isotonic_blocks", "M5", f"""
+SELECT prediction_mode, {rnd('min(x)')} AS low, {rnd('max(x)')} AS high, {rnd('max(fitted)')} AS fitted, sum(w)::BIGINT AS weight
+FROM iso_fit JOIN iso_sums USING (prediction_mode, i) GROUP BY prediction_mode, iso_fit.fitted""")
+def isotonic_blocks(spark, sf):
+    """The isotonic fit of validation labels on raw probabilities, by mode."""
+    from tidemark.operators.isotonic import isotonic_blocks as fitted
+
+    rows = E.enhanced_predictions(spark, sf).where("split = 'validation'")
+    return fitted(rows, ["prediction_mode"], "raw_predicted_probability_up", LABEL).select(
+        "prediction_mode", r("low").alias("low"), r("high").alias("high"), r("fitted").alias("fitted"), "weight")

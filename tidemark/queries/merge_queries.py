@@ -40,8 +40,7 @@ SELECT p.date AS historical_date, p.target_date AS prediction_date, p.ticker, p.
 FROM price_features p CROSS JOIN (VALUES ('pre_market'), ('after_close')) m(prediction_mode)
 LEFT JOIN news_features n ON n.date = p.target_date AND n.ticker = p.ticker AND n.exchange = p.exchange AND n.prediction_mode = m.prediction_mode""")
 _wm = "(PARTITION BY ticker, exchange, prediction_mode ORDER BY prediction_date)"
-_lag_cols = ("news_avg_sentiment", "news_article_count", "news_sentiment_3d", "news_carried_flag", "has_fresh_news",
-             "news_event_count_other", "news_company_article_share", "is_fallback_heavy")
+_lag_cols = N.NEWS_COLUMNS
 _lags = ", ".join(f"coalesce(lag({c}, {k}) OVER {_wm}, 0) AS {c}_lag{k}" for k in (1, 2) for c in _lag_cols)
 _cross = {
     "cross_rsi_14_sentiment": "(rsi_14 - 50) * news_sentiment_3d",
@@ -66,7 +65,7 @@ def mode_expansion(spark, sf):
     return G.expand_modes(labelled).select(*G.MERGE_KEYS, "close")
 
 
-_join_cols = ("news_article_count", "news_avg_sentiment", "news_weighted_sentiment_score", "news_sentiment_5d", "is_carried_forward")
+_join_cols = N.NEWS_COLUMNS
 
 
 @query("news_join", "J4", f"""
