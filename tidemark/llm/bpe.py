@@ -345,7 +345,6 @@ def _open_tail(raw: bytes) -> int:
 
 def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tokens array<int>): the ids of every whole text. Null and empty texts have no tokens."""
-    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = codec(tokenizer)
         for batch in batches:
@@ -355,7 +354,7 @@ def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     small_batches(docs)
     return docs.select(docs[id_col].cast("string").alias("i"), docs[text_col].alias("t")).mapInPandas(
-        run, "doc_id long, tokens array<int>")
+        lean(run, lambda: codec(tokenizer).words.clear()), "doc_id long, tokens array<int>")
 
 
 def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -365,7 +364,6 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     they are; other columns are not read. No shuffle: each task holds the vocabulary and a word
     cache of bounded size.
     """
-    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = codec(tokenizer)
         for batch in batches:
@@ -376,7 +374,8 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
             give_back()
 
     small_batches(docs)
-    return docs.select(docs["doc_id"].cast("string").alias("i"), docs["text"].alias("t")).mapInPandas(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("string").alias("i"), docs["text"].alias("t")).mapInPandas(
+        lean(run, lambda: codec(tokenizer).words.clear()), SCHEMA)
 
 
 def _texts(column: pd.Series) -> list[str | None]:

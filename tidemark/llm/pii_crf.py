@@ -199,6 +199,11 @@ def _slots(word: str, offset: int) -> tuple[int, ...]:
     return tuple(_slot(f"{offset}{n}") for n in (names if offset == 0 else names[1:5]))
 
 
+def _forget() -> None:
+    word_features.cache_clear()
+    _slots.cache_clear()
+
+
 def _ends(word: str) -> str:
     """What of a word the features see: of a very long one its two ends."""
     return word if len(word) <= 64 else word[:40] + word[-24:]
@@ -432,7 +437,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Null or empty text has no spans. Null ids and repeated rows stay as they are; other columns are
     not read. Without a shuffle; every text is read whole.
     """
-    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -445,7 +449,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
             yield out
 
     small_batches(docs)
-    return docs.select(docs["doc_id"].cast("string").alias("i"), docs["text"].alias("t")).mapInPandas(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("string").alias("i"), docs["text"].alias("t")).mapInPandas(
+        lean(run, _forget), SCHEMA)
 
 
 def mask(text: str, spans: Iterable[tuple[int, int, int]]) -> str:
@@ -465,7 +470,6 @@ def masked(docs: DataFrame) -> DataFrame:
     columns as they are."""
     names = docs.columns
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -475,7 +479,7 @@ def masked(docs: DataFrame) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(done, batch.schema.field(at).type))
 
     small_batches(docs)
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run, _forget), docs.schema)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(

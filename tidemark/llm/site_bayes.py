@@ -164,17 +164,15 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
 
     @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((1 << bits, 4), dtype=np.int32)  # rows: feature slots; columns: toxic, low, both, any
-        sums = np.zeros(4, dtype=np.int64)
-        for batch in batches:
+        for batch in batches:  # only the slots present: a batch's rows, not a table of all slots
             doc, slot = feature_slots([t if isinstance(t, str) else None for t in batch["text"]], bits)
             toxic, low = batch["toxic"].to_numpy() > 0, batch["low"].to_numpy() > 0
-            for k, member in enumerate((toxic, low, toxic & low, np.ones(len(batch), dtype=bool))):
-                total[:, k] += np.bincount(slot[member[doc]], minlength=1 << bits).astype(np.int32)
-                sums[k] += int(member.sum())
-        at = np.flatnonzero(total[:, 3])
-        rows = np.concatenate([np.column_stack([at, total[at]]), [[-1, *sums]]])
-        yield pd.DataFrame(rows, columns=["slot", "toxic", "low", "both", "every"]).astype("int64")
+            members = (toxic, low, toxic & low, np.ones(len(batch), dtype=bool))
+            present, where = np.unique(slot, return_inverse=True)
+            sums = [np.bincount(where, weights=m[doc], minlength=len(present)).astype(np.int64) for m in members]
+            yield pd.DataFrame({"slot": np.append(present, -1), **{
+                name: np.append(n, int(m.sum())) for name, n, m in zip(
+                    ("toxic", "low", "both", "every"), sums, members, strict=True)}})
 
     small_batches(sample)
     counts = sample.mapInPandas(count, "slot long, toxic long, low long, both long, every long").groupBy("slot").agg(

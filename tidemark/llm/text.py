@@ -195,13 +195,18 @@ def small_batches(frame: DataFrame) -> None:
     frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The batch function `run`, which gives freed memory back at its start and at its end."""
+def lean(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """The batch function `run`, which gives freed memory back at its start and at its end; `forget` drops the
+    caches that the worker would otherwise keep for tasks of other stages."""
     @wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
         give_back()
-        yield from run(batches)
-        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            give_back()
 
     return wrapped
 
