@@ -14,9 +14,9 @@ from tidemark.queries import ingest_inputs as D
 from tidemark.queries import inputs as I
 from tidemark.queries.inputs import ntz, r
 from tidemark.queries.oracle import cte, in_list, rnd
-from tidemark.queries.registry import query
+from tidemark.queries.registry import ENTRIES, query
 from tidemark.settings import KEYS, IngestSettings
-from tidemark.sources import candles, news_feeds
+from tidemark.sources import candles, news_feeds, tables
 from tidemark.sources.catalog import overlay_catalog
 
 S = IngestSettings()
@@ -211,17 +211,6 @@ def article_ranking(spark, sf):
     return G.rank_articles(scored, S.max_articles).select("ticker", "article_id", "specificity", "priority")
 
 
-@query("source_union", "U1")
-def source_union(spark, sf):
-    """Feeds as separate sources; one of them never landed and only leaves a warning."""
-    docs = D.articles(spark, sf).select("article_id", "ticker", "exchange", "provider")
-    feeds = [(p, docs.where(F.col("provider") == p)) for p in ("nse_rss", "google_news_rss", "alphavantage")]
-    feeds.append(("marketaux", G.read_or_none(spark.read.parquet, f"{sf}/not_landed.parquet")))
-    union, status = G.union_sources(feeds, spark)
-    counts = union.groupBy("provider").agg(F.count(F.lit(1)).alias("article_count"))
-    return status.join(counts, "provider", "left").fillna(0, ["article_count"])
-
-
 @query("reason_dedupe", "U5", """
 WITH p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)),
 f AS (SELECT doc_id, trim(x) AS x, min(i) AS i FROM p WHERE trim(x) <> '' GROUP BY ALL),
@@ -346,6 +335,10 @@ _lab = "upper(regexp_extract({0}, '^(?:www\\.)?([^.]*)', 1)[1:1]) || lower(regex
     f"CASE WHEN source IS NULL OR lower(source) = lower({_lab.format('(' + _dom + ')')}) OR lower(source) = ({_dom}) THEN {_lab.format('(' + _dom + ')')} ELSE source END",
     "snippet", f"concat_ws(',', {_base_reasons})") + " FROM feed_rows")
 def company_news_feed(spark, sf):
+    return _feed_out(news_feeds.company_news(company_pages(spark, sf), "marketaux", market=I.MARKET))
+
+
+def company_pages(spark, sf):
     d = F.col("doc_id")
     rows = _feed_rows(spark, sf).withColumn("a", F.struct(
         F.when(d % 4 != 0, F.concat(F.lit("u"), d.cast("string"))).alias("uuid"), F.col("title").alias("title"),
@@ -356,8 +349,7 @@ def company_news_feed(spark, sf):
     # A landed page holds three articles of one instrument.
     pages = rows.groupBy("ticker", "exchange", F.floor(d / 75).alias("page")).agg(
         F.to_json(F.struct(F.collect_list("a").alias("data"))).alias("payload"))
-    return _feed_out(news_feeds.company_news(
-        pages.select("ticker", "exchange", "payload"), "marketaux", market=I.MARKET))
+    return pages.select("ticker", "exchange", "payload")
 
 
 _tf_reason = f"concat_ws(',', {_base_reasons}, CASE WHEN source IS NULL THEN 'missing_source_name' END, CASE WHEN doc_id % 9 = 0 THEN 'missing_requested_ticker_sentiment' END)"
@@ -368,6 +360,10 @@ _tf_reason = f"concat_ws(',', {_base_reasons}, CASE WHEN source IS NULL THEN 'mi
     f"CASE WHEN source IS NULL OR lower(source) = lower({_lab.format('(' + _dom + ')')}) OR lower(source) = ({_dom}) THEN {_lab.format('(' + _dom + ')')} ELSE source END",
     "snippet", _tf_reason) + " FROM feed_rows")
 def ticker_sentiment_feed(spark, sf):
+    return _feed_out(news_feeds.ticker_feed(ticker_pages(spark, sf), I.MARKET))
+
+
+def ticker_pages(spark, sf):
     d = F.col("doc_id")
     other = F.when(d % 9 == 0, "ZZZ").otherwise(F.col("ticker"))
     rows = _feed_rows(spark, sf).withColumn("a", F.struct(
@@ -377,7 +373,7 @@ def ticker_sentiment_feed(spark, sf):
         F.array(F.struct(F.lit("QQQ").alias("ticker")), F.struct(other.alias("ticker"))).alias("ticker_sentiment")))
     pages = rows.groupBy("ticker", "exchange", F.floor(d / 75).alias("page")).agg(
         F.to_json(F.struct(F.collect_list("a").alias("feed"))).alias("payload"))
-    return _feed_out(news_feeds.ticker_feed(pages.select("ticker", "exchange", "payload"), I.MARKET))
+    return pages.select("ticker", "exchange", "payload")
 
 
 _rss_id = f"substr(sha256('' || chr(10) || coalesce(canonical_rss, url, '') || chr(10) || title || chr(10) || {_iso} || chr(10)), 1, 24)"
@@ -394,6 +390,11 @@ SELECT CASE WHEN {_rss_reasons} = '' THEN {_rss_id} END AS article_id, ticker, '
   {_rss_reasons} AS reasons
 FROM (SELECT * EXCLUDE (canonical_url), canonical_url AS canonical_rss FROM feed_rows)""")
 def rss_feed(spark, sf):
+    return _feed_out(news_feeds.rss_articles(
+        news_feeds.rss_items(rss_pages(spark, sf).withColumnRenamed("payload", "feed")), I.MARKET))
+
+
+def rss_pages(spark, sf):
     d = F.col("doc_id")
 
     def esc(c):
@@ -409,9 +410,8 @@ def rss_feed(spark, sf):
         F.lit("</pubDate>"), F.when(F.col("url").isNull(), F.lit("")).otherwise(
             F.concat(F.lit("<link>"), esc(F.col("url")), F.lit("</link>"))), source, F.lit("</item>")))
     feeds = rows.groupBy("ticker", "exchange", F.floor(d / 75).alias("page")).agg(
-        F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("item"), ""), F.lit("</channel></rss>")).alias("feed"))
-    return _feed_out(news_feeds.rss_articles(
-        news_feeds.rss_items(feeds.select("ticker", "exchange", "feed")), I.MARKET))
+        F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("item"), ""), F.lit("</channel></rss>")).alias("payload"))
+    return feeds.select("ticker", "exchange", "payload")
 
 
 @query("announcement_feed", "S7 X8", f"""
@@ -424,6 +424,10 @@ FROM (SELECT doc_id, ticker, title, snippet, CASE WHEN doc_id % 37 = 0 THEN NULL
   CASE doc_id % 13 WHEN 0 THEN NULL WHEN 1 THEN 'http://localhost/x.pdf' ELSE '/corporate/n' || doc_id || '.pdf' END AS att,
   CASE doc_id % 13 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE 'https://www.nseindia.com/corporate/n' || doc_id || '.pdf' END AS link FROM feed_rows)""")
 def announcement_feed(spark, sf):
+    return _feed_out(news_feeds.announcements(news_feeds.announcement_rows(notice_pages(spark, sf)), I.MARKET))
+
+
+def notice_pages(spark, sf):
     d = F.col("doc_id")
     att = F.when(d % 13 == 0, None).when(d % 13 == 1, "http://localhost/x.pdf").otherwise(
         F.concat(F.lit("/corporate/n"), d.cast("string"), F.lit(".pdf")))
@@ -435,8 +439,7 @@ def announcement_feed(spark, sf):
     listed = rows.groupBy("ticker", "exchange", page.alias("page")).agg(F.collect_list("n").alias("data"))
     # Every other page comes in an envelope.
     payload = F.when(F.col("page") % 2 == 0, F.to_json("data")).otherwise(F.to_json(F.struct("data")))
-    return _feed_out(news_feeds.announcements(
-        news_feeds.announcement_rows(listed.select("ticker", "exchange", payload.alias("payload"))), I.MARKET))
+    return listed.select("ticker", "exchange", payload.alias("payload"))
 
 
 @query("official_rss_feed", "S6 F8", """
@@ -485,3 +488,40 @@ def catalog_overlay(spark, sf):
         F.col("s_suppkey").alias("position"))
     return overlay_catalog(D.catalog(spark, sf), local).withColumn(
         "search_aliases", F.array_join("search_aliases", ","))
+
+
+def _feed_counts(name: str, provider: str, where: str = "true") -> str:
+    return f"""
+SELECT '{provider}' AS provider, 'ok' AS status, count(*) FILTER (reasons = '') AS article_count, count(*) FILTER (reasons <> '') AS refused_count,
+  coalesce(min(article_id) FILTER (reasons = ''), '') AS first_id, coalesce(max(article_id) FILTER (reasons = ''), '') AS last_id FROM ({name}) WHERE {where}"""
+
+
+_rss_rows = ENTRIES["rss_feed"].sql
+_scoped = f"""SELECT r.* FROM ({_rss_rows}) r JOIN instrument_terms t USING (ticker)
+WHERE len(list_filter(t.terms, lambda x: contains({D.match('r.article_title')} || ' ', x))) > 0"""
+
+
+@query("source_union", "U1 S4 S5 S6 S7", " UNION ALL ".join([
+    _feed_counts(ENTRIES["company_news_feed"].sql, "marketaux"), _feed_counts(ENTRIES["ticker_sentiment_feed"].sql, "alphavantage"),
+    _feed_counts(_rss_rows, "google_news_rss"), _feed_counts(_rss_rows, "economic_times"),
+    _feed_counts(ENTRIES["announcement_feed"].sql, "nse_announcements"),
+    _feed_counts(_scoped, "nse_rss"), _feed_counts(_scoped, "bse_rss")]))
+def source_union(spark, sf):
+    """Seven feeds land as files, are parsed and staged one by one, and read back as one table."""
+    from uuid import uuid4
+
+    from tidemark.sources.landed import Feed, land, parsers, union_feeds
+
+    folder = tables.shared_folder(spark)
+    landed = f"{folder}/landed-{uuid4().hex[:12]}"
+    pages = {"marketaux": company_pages, "alphavantage": ticker_pages, "nse_announcements": notice_pages}
+    found = []
+    for provider, (parse, whole) in parsers(D.catalog(spark, sf), I.MARKET).items():
+        land(pages.get(provider, rss_pages)(spark, sf), f"{landed}/{provider}")
+        found.append(Feed(provider, f"{landed}/{provider}", parse, whole))
+    union, status = union_feeds(spark, found, folder)
+    good = union.where(F.size("reasons") == 0).groupBy("provider").agg(
+        F.min("article_id").alias("first_id"), F.max("article_id").alias("last_id"))
+    return status.join(good, "provider", "left").select(
+        "provider", "status", "article_count", "refused_count", F.coalesce("first_id", F.lit("")).alias("first_id"),
+        F.coalesce("last_id", F.lit("")).alias("last_id"))
