@@ -18,6 +18,7 @@ from tidemark.queries.oracle import cte, in_list, rnd
 from tidemark.queries.registry import query
 from tidemark.settings import KEYS, MODES, IngestSettings, PriceSettings
 from tidemark.sources import prediction_log as PL
+from tidemark.sources import tables
 
 NOW = "2001-11-15 00:00:00"
 
@@ -446,3 +447,34 @@ def table_lineage(spark, sf):
     out = R.lineage_check(saved, current)
     # A changed column list also changes the content; the first difference names the cause.
     return out.select("table_name", "aligned", F.when(F.size("differences") > 0, F.get("differences", F.lit(0))).otherwise("").alias("differences"))
+
+
+@query("log_sink_round_trip", "S9 L1 J10", _backfill_sql("true"))
+def log_sink_round_trip(spark, sf):
+    """The log in files: two runs appended, one of them again and one cut short, outcomes filled in twice, read back."""
+    from uuid import uuid4
+
+    path = f"{tables.shared_folder(spark)}/log-{uuid4().hex[:12]}"
+    log, day = L.log(spark, sf), F.dayofyear("prediction_date")
+    early, late = log.where(F.coalesce(day % 2 == 0, F.lit(True))), log.where(day % 2 == 1)
+    PL.append_run(early, path, "run-1")
+    PL.append_run(early, path, "run-1")
+    PL.write_append(late.where(day % 3 == 0), path)  # run-2 died after a part of its rows
+    PL.append_run(late, path, "run-2")
+    for _ in range(2):
+        PL.rewrite_run(spark, path, "outcomes-1", lambda rows: P.backfill(rows, I.bars(spark, sf), now()))
+    return PL.read_log(spark, path).select(*_OUT)
+
+
+@query("stage_versions", "S8 L9", """
+SELECT ticker AS part, 'content' AS reason FROM (SELECT ticker, count(*) FILTER (date < DATE '1998-06-01' AND volume > 60) AS n FROM bars GROUP BY ticker) WHERE n > 0""")
+def stage_versions(spark, sf):
+    """Bars stored as a version; after a change only the instruments it touches are stale."""
+    from uuid import uuid4
+
+    path = f"{tables.shared_folder(spark)}/bars-{uuid4().hex[:12]}"
+    bars = I.bars(spark, sf)
+    tables.write_version(bars, path, "bars", "5", "ticker")
+    changed = bars.withColumn("volume", F.when(
+        (F.col("date") < F.lit("1998-06-01").cast("date")) & (F.col("volume") > 60), F.col("volume") + 1).otherwise(F.col("volume")))
+    return tables.stale_parts(spark, path, changed)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from uuid import uuid4
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _S, _I, _D, _B, _DT, _TS = "string", "int", "double", "boolean", "date", "timestamp"
@@ -66,6 +70,81 @@ def write_append(rows: DataFrame, path: str) -> None:
         "append").partitionBy("prediction_mode", "prediction_month").parquet(path)
 
 
+def _dated(rows: DataFrame) -> DataFrame:
+    return conform(rows).withColumn("prediction_month", F.date_format("prediction_date", "yyyy-MM"))
+
+
+def _stored(spark: SparkSession, read: Callable[[], DataFrame], schema: str) -> DataFrame:
+    """What is stored, or nothing where the folder does not exist yet."""
+    try:
+        return read()
+    except AnalysisException as absent:
+        if "PATH_NOT_FOUND" not in (absent.getCondition() or ""):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def committed_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, kind) of the runs whose rows are surely in the log."""
+    return _stored(spark, lambda: spark.read.schema("run_id string, kind string").json(f"{path}/_runs"), "run_id string, kind string")
+
+
+def _is_committed(spark: SparkSession, path: str, run_id: str, kind: str) -> bool:
+    return committed_runs(spark, path).where((F.col("run_id") == run_id) & (F.col("kind") == kind)).limit(1).count() > 0
+
+
+def _commit(spark: SparkSession, path: str, run_id: str, kind: str) -> None:
+    spark.createDataFrame([(run_id, kind)], "run_id string, kind string").coalesce(1).write.mode("append").json(f"{path}/_runs")
+
+
+def append_run(rows: DataFrame, path: str, run_id: str) -> bool:
+    """Append a run's rows once, however often it is tried; False if the run was there already.
+
+    The manifest of runs is written after the rows. A run that died between the two is told by its
+    entry ids: rows whose id is in the log already, in the months they touch, are left out. One id
+    that occurs twice within the rows is one row. Rows without an id have the manifest alone.
+    """
+    spark = rows.sparkSession
+    if _is_committed(spark, path, run_id, "append"):
+        return False
+    new = _dated(rows)
+    identified = new.where("pilot_entry_id IS NOT NULL").dropDuplicates(["pilot_entry_id"])
+    new = identified.unionByName(new.where("pilot_entry_id IS NULL"))
+    schema = f"{LOG_DDL}, prediction_month string"
+    have = _stored(spark, lambda: spark.read.schema(schema).parquet(path), schema).select(
+        "prediction_mode", "prediction_month", "pilot_entry_id")
+    touched = new.select("prediction_mode", "prediction_month").distinct()
+    same_folder = (touched["prediction_mode"].eqNullSafe(have["prediction_mode"])
+                   & touched["prediction_month"].eqNullSafe(have["prediction_month"]))
+    known = have.join(touched, same_folder, "left_semi").select("pilot_entry_id")
+    new.join(known, "pilot_entry_id", "left_anti").write.mode("append").partitionBy("prediction_mode", "prediction_month").parquet(path)
+    _commit(spark, path, run_id, "append")
+    return True
+
+
+def rewrite_run(spark: SparkSession, path: str, run_id: str, update: Callable[[DataFrame], DataFrame],
+                touched: Column | None = None) -> bool:
+    """Replace the log's folders that hold rows of `touched` by update(their rows), once per run; False if it was done.
+
+    The updated rows are staged whole before any folder is replaced, and the folders are replaced by one
+    dynamic overwrite, so a run that died is simply run again. Folders without touched rows keep their files.
+    """
+    if _is_committed(spark, path, run_id, "rewrite"):
+        return False
+    stored = spark.read.schema(f"{LOG_DDL}, prediction_month string").parquet(path)
+    folders = stored.where(touched if touched is not None else F.lit(True)).select(
+        F.col("prediction_mode").alias("_mode"), F.col("prediction_month").alias("_month")).distinct()
+    inside = stored.join(folders, stored["prediction_mode"].eqNullSafe(folders["_mode"])
+                         & stored["prediction_month"].eqNullSafe(folders["_month"]), "left_semi")
+    staged = f"{path}/_staging/{run_id}-{uuid4().hex[:8]}"
+    _dated(update(conform(inside))).write.parquet(staged)
+    done = spark.read.schema(f"{LOG_DDL}, prediction_month string").parquet(staged)
+    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "prediction_mode", "prediction_month").parquet(path)
+    _commit(spark, path, run_id, "rewrite")
+    return True
+
+
 def read_log(spark, path: str) -> DataFrame:
     return conform(spark.read.schema(f"{LOG_DDL}, prediction_month string").parquet(path))
 
