@@ -381,6 +381,57 @@ def test_main_text_keeps_lists_tables_and_sides_of_boxes(place):
         assert html_segment.main_text(page, weights).split() == want.split()
 
 
+def layouts(rng):
+    """Pages of random layouts around one article, with the blocks of the article in order."""
+    wrappers = ["layout has-sidebar", "content-with-sidebar", "page-social", "post side-by-side", "no-menu", "col-8",
+                "nav-less", "widget-page", "shareholder news"]
+    boxes = ["sidebar", "ad-box", "cookie-banner", "related-posts", "share-buttons", "siteFooter", "newsletter signup",
+             "breadcrumbs", "main-menu", "comment-list", "widget_area"]
+
+    def sentence(n):
+        return " ".join(words(rng, n, 2000))
+
+    blocks = [sentence(rng.randrange(2, 8))]
+    body = f"<h1>{blocks[0]}</h1>"
+    tag, name = rng.choice([("article", ""), ("main", ""), ("div", rng.choice(wrappers)), ("section", "post")])
+    if tag != "div" and rng.random() < 0.5:
+        body = f"<header>{body}</header>"
+    for k in range(rng.randrange(2, 12)):
+        if rng.random() < 0.3:
+            blocks.append(sentence(rng.randrange(1, 5)))
+            body += f"<h2 id='{rng.choice(['related-work', 'social', 'comments', 'a1'])}'>{blocks[-1]}</h2>"
+        blocks.append(sentence(rng.randrange(5, 60)))
+        body += f"<p>{blocks[-1]}</p>"
+        if rng.random() < 0.2:
+            body += f"<div class='{rng.choice(boxes)}'><a href='/x'>{sentence(3)}</a></div>"
+    page = f"<{tag} class='{name}'>{body}</{tag}>"
+    for _ in range(rng.randrange(3)):
+        page = f"<div {rng.choice(['class', 'id'])}='{rng.choice(wrappers)}'>{page}</div>"
+    before = "".join(f"<div class='{b}'><p>{sentence(4)}</p></div>" for b in rng.sample(boxes, 3))
+    comments = "".join(f"<article class='comment'><p>{sentence(90)}</p></article>" for _ in range(rng.randrange(9)))
+    return (f"<html><head><title>{sentence(4)}</title></head><body class='has-sidebar'><nav>{sentence(3)}</nav>{before}"
+            f"{page}<section id='comments'>{comments}</section><footer>{sentence(5)}</footer></body></html>"), blocks
+
+
+def test_main_text_of_random_layouts():
+    rng = random.Random(31)
+    weights = html_segment.learn([layouts(rng)[0] for _ in range(100)])
+    for _ in range(300):
+        page, blocks = layouts(rng)
+        assert html_segment.main_text(page, weights) == "\n".join(blocks), page
+
+
+def test_main_text_of_long_and_repeated_pages(spark):
+    long = "<article>" + "".join(f"<p>word {i} of it</p>" for i in range(60_000)) + "</article>"
+    frame = spark.createDataFrame(
+        [(1, "u", long), (1, "u", long), (2, "u", "<div>" * 50_000 + "deep text"), (3, "u", "<p class='" * 20_000)],
+        "page_id long, url string, html string")
+    rows = sorted((r["page_id"], r["n_chars"], r["text"]) for r in html_segment.extract(frame).collect())
+    want = "\n".join(f"word {i} of it" for i in range(60_000))
+    assert [r[0] for r in rows] == [1, 1, 2, 3] and rows[0] == rows[1] == (1, len(want), want)
+    assert rows[2][2] == "deep text"
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(6)
     items = [words(rng, n, 5000) for n in (40, 30, 16, 8)]

@@ -3,7 +3,8 @@
 Every word scores positive and every tag negative. The weights are log-odds of lying inside or
 outside the marked content of labelled pages: of a word by the block it stands in, of a tag by its
 name and role. One linear scan finds the contiguous stretch of largest total; stretches in blocks
-that never are content (menus, adverts, forms, comments, ...) neither score nor stay.
+that never are content (menus, adverts, forms, comments, ...) neither score nor stay. An element is such
+a block by its own name, or by a class or id that names a role, unless what it holds speaks against it.
 """
 
 from __future__ import annotations
@@ -28,10 +29,19 @@ BLOCKS = frozenset(
     "tbody td tfoot th thead title tr ul".split())
 NEVER = frozenset("nav header footer aside form menu dialog button select title head".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ROLES = re.compile(
-    r"(?<![a-z])(ad|ads|advert\w*|banner|sponsor\w*|promo\w*|comments?|replies|respond|disqus|sidebar|side|menu|"
-    r"nav\w*|breadcrumbs?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|related|footer|"
-    r"masthead|toolbar|widget|pagination|pager)(?![a-z])", re.I)
+ROLES = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion comment "
+    "comments reply replies respond disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies "
+    "consent notice notices popup modal newsletter subscribe subscription share sharing social related footer "
+    "masthead toolbar widget pagination pager".split())
+READERS = frozenset("comment comments reply replies respond disqus".split())
+# Words that leave a role as it is: "ad-box", "comment-list", "site-footer".
+FILLERS = frozenset(
+    "area bar block bottom box button buttons container form global header icons inner item items left link links "
+    "list main outer posts primary right secondary section signup site slot stories thread title top unit wrap "
+    "wrapper".split())
+# Words that say the element is laid out around the role, not that it is one: "has-sidebar".
+AROUND = frozenset("has with no without by".split())
 ROLE_NAMES = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu")
 
 TOKENS = re.compile(
@@ -60,61 +70,147 @@ class Span:
     text: str
     block: str
     out: bool
+    element: int = 0
 
 
-def _excluded(name: str, attributes: str) -> bool:
-    if name in NEVER:
-        return True
+@dataclass
+class Element:
+    """What decides whether an element is left out: its own role, and what it holds."""
+
+    name: str
+    parent: int
+    role: str
+    words: int = 0
+    main: bool = False
+    article: bool = False
+
+
+def _token_role(token: str) -> str:
+    """The role that one class or id gives an element: "strong" if it names nothing but a role, "readers" if that is
+    the readers' comments, "weak" if other words stand beside it, else ""."""
+    parts = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", token)]
+    named = [w for w in parts if w in ROLES]
+    if not named or not AROUND.isdisjoint(parts):
+        return ""
+    if all(w in ROLES or w in FILLERS or w.isdigit() for w in parts):
+        return "readers" if not READERS.isdisjoint(named) else "strong"
+    return "weak"
+
+
+def _role(name: str, attributes: str, inside: bool, headline: bool) -> str:
+    """How an element's own name and attributes speak against it: "never", "readers", "strong", "weak" or "".
+    `inside`: it lies in an article or main element, where ids are mostly anchors; `headline`: it lies in
+    an article, main element or section, whose header is its title."""
+    if name in NEVER and not (name == "header" and headline):
+        return "never"
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
+        return "readers" if name == "article" and "comment" in attributes and _classes(attributes) == "readers" else ""
     if HIDDEN.search(attributes):
-        return True
+        return "never"
+    return _classes(attributes, ids=name not in HEADINGS, weak_ids=not inside)
+
+
+def _classes(attributes: str, ids: bool = True, weak_ids: bool = True) -> str:
+    found = set()
     for key, *values in NAMES.findall(attributes):
-        value = "".join(values)
-        if value.lower() in ROLE_NAMES if key.lower() == "role" else ROLES.search(value.replace("_", "-")):
-            return True
-    return False
+        value, key = "".join(values), key.lower()
+        if key == "role":
+            if value.lower() in ROLE_NAMES:
+                return "never"
+        elif key == "class" or ids:
+            found |= {r for r in map(_token_role, value.split()) if key == "class" or weak_ids or r != "weak"}
+    return next((r for r in ("readers", "strong", "weak") if r in found), "")
+
+
+def _left_out(elements: list[Element]) -> list[bool]:
+    """Which elements never are content, with all they hold. A role in a class or id counts only as far as what the
+    element holds agrees: none leaves out the main element, a weak one no article and no half of the page's words,
+    a strong one not both an article and half of the words. Readers' comments may be of any length."""
+    for k in range(len(elements) - 1, 0, -1):
+        e, up = elements[k], elements[elements[k].parent]
+        if e.role != "never":
+            up.words += e.words if e.role != "readers" else 0
+            up.main |= e.main or e.name == "main"
+            up.article |= e.article or (e.name == "article" and e.role == "")
+    half = elements[0].words / 2
+    out = [False] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        large = e.words > half
+        own = e.role in ("never", "readers") or (e.role == "strong" and not (e.article and large)) or (
+            e.role == "weak" and not (e.article or large))
+        out[k] = out[e.parent] or (own and (e.role == "never" or not e.main))
+    return out
 
 
-def spans(page: str) -> Iterator[Span]:
+def spans(page: str) -> list[Span]:
     """The page as tags and texts, in order; comments, scripts and styles are left out."""
-    stack: list[tuple[str, bool]] = []
+    elements = [Element("", 0, "")]
+    found = list(_parts(page, elements))
+    out = _left_out(elements)
+    for p in found:
+        p.out = out[p.element]
+    return found
+
+
+def _parts(page: str, elements: list[Element]) -> Iterator[Span]:
+    """The spans with the number of their element, which is appended to `elements`; `out` is not known yet."""
+    stack: list[tuple[str, int]] = []
+    open_main = open_articles = 0
     at = 0
+
+    def text(piece: str) -> Span:
+        element = stack[-1][1] if stack else 0
+        elements[element].words += len(piece.split())
+        return Span("", piece, _block(stack), False, element)
+
+    def close(k: int) -> None:
+        nonlocal open_main, open_articles
+        for name, _ in stack[k:]:
+            open_main -= name == "main"
+            open_articles -= name == "article"
+        del stack[k:]
+
     for m in TOKENS.finditer(page):
         if m.start() > at:
-            yield Span("", page[at:m.start()], _block(stack), bool(stack) and stack[-1][1])
+            yield text(page[at:m.start()])
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             continue
         if m[2]:  # a closing tag closes up to its opening one, if that is open, and is out where that is
-            out = bool(stack) and stack[-1][1]
+            element = stack[-1][1] if stack else 0
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    out = stack[k][1]
-                    del stack[k:]
+                    element = stack[k][1]
+                    close(k)
                     break
                 if stack[k][0] in _WALLS and name not in _WALLS:
                     break
-            yield Span("/" + name, "", _block(stack), out)
+            yield Span("/" + name, "", _block(stack), False, element)
             continue
         if name in _IMPLIED:  # p, li, td, ... end where the next begins
             ends, walls = _IMPLIED[name]
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in walls:
                     break
-        outside = bool(stack) and stack[-1][1]
-        out = outside or _excluded(name, m[4])
-        yield Span(name, "", _block(stack), out)
+        headline = name == "header" and next(
+            (n for n, _ in reversed(stack) if n in _SECTIONS), "") in ("article", "main", "section")
+        elements.append(Element(
+            name, stack[-1][1] if stack else 0, _role(name, m[4], open_main + open_articles > 0, headline)))
+        yield Span(name, "", _block(stack), False, len(elements) - 1)
         if name not in EMPTY and not m[4].endswith("/"):
-            stack.append((name, out))
+            stack.append((name, len(elements) - 1))
+            open_main += name == "main"
+            open_articles += name == "article"
     if at < len(page):
-        yield Span("", page[at:], _block(stack), bool(stack) and stack[-1][1])
+        yield text(page[at:])
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SECTIONS = frozenset("article aside body footer header main nav section".split())
 _WALLS = frozenset("article aside body div footer form header main nav section table td th ul ol".split())
 _P_ENDERS = "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main " \
     "nav ol p pre section table ul".split()
@@ -125,7 +221,7 @@ _IMPLIED = {name: ({"p"}, _WALLS) for name in _P_ENDERS} | {
     "option": ({"option"}, frozenset({"select"}))}
 
 
-def _block(stack: list[tuple[str, bool]]) -> str:
+def _block(stack: list[tuple[str, int]]) -> str:
     for name, _ in reversed(stack):
         if name in BLOCKS:
             return name
@@ -158,7 +254,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     """Blocks of the best region joined by line feeds, white space inside a block as one space."""
     if not page:
         return ""
-    parts = list(spans(page))
+    parts = spans(page)
     first, last = region(parts, weights)
     blocks, open_text = [], []
 
@@ -182,21 +278,22 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 def counts_of(page: str) -> Counter:
     """(kind, name, inside) counts of a page whose content is marked by an article or main element; what lies
-    in blocks that never are content counts on neither side."""
+    in blocks that never are content counts on neither side, their articles (comments, teasers) mark nothing."""
     out: Counter = Counter()
-    depth = 0
+    depth, marked = 0, False
     for p in spans(page):
         name = p.tag.lstrip("/")
-        if name in ("article", "main"):
-            depth = max(0, depth + (-1 if p.tag[0] == "/" else 1))
         if p.out:
             continue
+        if name in ("article", "main"):
+            depth = max(0, depth + (-1 if p.tag[0] == "/" else 1))
+            marked = True
         inside = depth > 0 and name not in ("article", "main")
         if p.tag:
             out["tag", _weighed(name), inside] += 1
         else:
             out["word", _weighed(p.block), inside] += len(p.text.split())
-    return out
+    return out if marked else Counter()
 
 
 def learn(pages: Iterable[str | None]) -> Weights:
