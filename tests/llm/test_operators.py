@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -452,3 +453,60 @@ def test_decontamination(spark, docs, empty):
     assert left.columns == frame.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["3", "5", "6", "None"]
     assert spaced_seeds.contaminated(empty, bench).count() == 0
     assert spaced_seeds.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def accepted(doc, item, window=24, share=0.75, whole=8):
+    """The best window of an item in a document by comparing all positions, or None."""
+    width = min(window, len(item))
+    least = width if width < whole else math.ceil(width * share)
+    best = None
+    for shift in range(-len(item), len(doc)):
+        equal = [int(0 <= k + shift < len(doc) and doc[k + shift] == w) for k, w in enumerate(item)]
+        for k in range(len(item) - width + 1 if sum(equal) >= least else 0):
+            if 0 <= k + shift and k + shift + width <= len(doc):
+                found = (sum(equal[k:k + width]), -(k + shift))
+                best = found if best is None or found > best else best
+    return best if best and best[0] >= least else None
+
+
+@pytest.mark.parametrize("length", range(8, 25))
+def test_masks_fit_between_any_replaced_words(length):
+    replaced = length - math.ceil(0.75 * length)
+    patterns = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(length), replaced)])
+    if length < spaced_seeds.SHORT:
+        placed = spaced_seeds.short_masks(length)
+    else:
+        placed = [(at, m) for m in spaced_seeds.MASKS for at in range(length - len(m) + 1)]
+    intact = np.zeros(len(patterns), dtype=bool)
+    for at, m in placed:
+        intact |= patterns & sum(1 << (at + k) for k, c in enumerate(m) if c == "1") == 0
+    assert intact.all()
+
+
+def test_decontamination_equals_comparing_all_positions(spark):
+    rng = random.Random(12)
+    items = {n: words(rng, n, 4000) for n in range(1, 41)}
+    rows = []
+    for n, item in items.items():
+        for allowed in (n - math.ceil(0.75 * n), n - math.ceil(0.75 * n) + 1):
+            for kind in range(4):
+                text = list(item)
+                if kind == 0:  # every fourth word
+                    at = list(range(rng.randrange(4), n, 4))[:allowed]
+                else:
+                    at = rng.sample(range(n), min(n, allowed))
+                for k in at:
+                    text[k] = "other"
+                if kind == 3:
+                    text = text[rng.randrange(3):]
+                rows.append(words(rng, rng.randrange(9), 4000) + text + words(rng, rng.randrange(9), 4000))
+    rows.append(items[30] + ["and"] + items[30])  # a tie: the earliest place
+    rows.append(words(rng, 40_000, 4000) + items[20] + words(rng, 40_000, 4000))
+    want = {(i, n, *best) for i, r in enumerate(rows[:-1]) for n, item in items.items() if (best := accepted(r, item))}
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_equal"], -r["at_word"]) for r in
+           spaced_seeds.contaminated(docs, bench).collect()}
+    last = len(rows) - 1
+    assert {r for r in got if r[0] != last} == want
+    assert (last, 20, 20, -40_000) in got
