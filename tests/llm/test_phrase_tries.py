@@ -135,3 +135,33 @@ def test_trie_is_a_dictionary():
         found = dict(zip(at.tolist(), states.tolist(), strict=True))
         for i in range(len(stream) - k + 1):
             assert found.get(i) == want.get(tuple(stream[i:i + k].tolist()))
+
+
+def test_counts_of_words_travel_packed(spark, monkeypatch):
+    """Blocks send their words' counts in a row per hash range, and only frequent words are spelled out."""
+    monkeypatch.setattr(pt, "RANGE_BITS", 2)
+    sent, keep = [], pt._frequent
+    monkeypatch.setattr(pt, "_frequent", lambda packed, least: (sent.append(packed.count()), keep(packed, least))[1])
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(3000)) + " a b" * 10, "en" if i % 2 else None, None, None) for i in range(4)]
+    every, totals = pt.frequent_phrases(spark.createDataFrame(rows, SCHEMA).coalesce(1), pt.Settings(least=20, longest=2))
+    assert sent[0] <= 4
+    assert {(r["lang"], *r["words"]): r["f"] for r in every.collect()} == {
+        (lang, *w): 20 for lang in ("en", "und") for w in (["a"], ["b"], ["a", "b"])}
+    assert {r["lang"]: r["n"] for r in totals.collect()} == {"en": 6040, "und": 6040}
+
+
+def test_a_rare_word_with_a_frequent_key_stops_the_job(spark, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(pt, "span_hashes", lambda data, starts, ends, lower: np.full(len(starts), 7, dtype=np.uint64))
+        made = [tuple(next(pt._stream(i, [i], [t], ["en"]))[3:]) for i, t in enumerate(["common " * 30, "uncommon"])]
+    fields = "keys binary, order binary, words binary, sizes binary, lang binary, langs binary"
+    monkeypatch.setattr(pt, "word_streams", lambda docs: spark.createDataFrame(made, fields))
+    with pytest.raises(ValueError, match="64-bit key"):
+        pt.frequent_phrases(None, pt.Settings(least=20))
+
+
+@pytest.mark.parametrize("walked", [1, 7])
+def test_phrases_across_slices_count_once(spark, monkeypatch, walked):
+    monkeypatch.setattr(pt, "WALKED", walked)
+    docs = spark.createDataFrame([(1, "a b c d e f " * 30 + "a a a", "en", None, None)], SCHEMA)
+    assert collect(pt.collocations(docs, pt.Settings(least=10))) == brute([(1, "a b c d e f " * 30 + "a a a", "en")], least=10)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.exchange import blocks, pack, pack_sorted, row, unpack, unpack_sorted, written
+from tidemark.llm.exchange import blocks, pack, pack_sorted, row, split_points, unpack, unpack_sorted, written
 from tidemark.llm.text import join_texts, lean, mix, span_hashes
 
 BITMAP_BITS = 25
 RANGE_BITS = 8
 CHUNK = 4096
 MERGE_AT = 1 << 20
+WALKED = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -59,8 +61,8 @@ def _language_salt(lang: str) -> int:
 
 
 def _stream(block: int, ids: list, texts: list, langs: list) -> Iterator[tuple]:
-    """One block: sorted keys of its distinct words, their bytes and languages, and the words by position; after each
-    piece's last word stands the number of distinct words."""
+    """One block: sorted keys of its distinct words, their bytes and languages, the words by position, and each
+    language's number of words; after each piece's last word stands the number of distinct words."""
     data, begins = join_texts(texts)
     data = _LOWER[data]
     inside = np.zeros(len(data) + 2, dtype=np.int8)
@@ -74,6 +76,7 @@ def _stream(block: int, ids: list, texts: list, langs: list) -> Iterator[tuple]:
     lang_of = np.array([number[lang] for lang in langs], dtype=np.int64)[np.searchsorted(begins, starts, "right") - 1]
     with np.errstate(over="ignore"):
         keys = mix(span_hashes(data, starts, ends, lower=False) + salts[lang_of]) if len(starts) else np.zeros(0, np.uint64)
+    totals = [{"lang": lang, "n": n} for lang, n in zip(names, np.bincount(lang_of, minlength=len(names)).tolist(), strict=True)]
     distinct, first, order = np.unique(keys, return_index=True, return_inverse=True)
     piece = np.cumsum(_BREAK[data], dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int32)
     last = np.flatnonzero(np.diff(piece, append=-1))
@@ -82,7 +85,7 @@ def _stream(block: int, ids: list, texts: list, langs: list) -> Iterator[tuple]:
     words = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
     yield row(0, block, 0, pack_sorted(distinct) if len(distinct) else b"", pack(order), b"".join(words),
               np.array([len(w) for w in words], dtype="<i4").tobytes(), lang_of[first].astype("<u4").tobytes(),
-              json.dumps(names).encode())
+              json.dumps(totals).encode())
 
 
 def word_streams(docs: DataFrame) -> DataFrame:
@@ -98,25 +101,88 @@ def _keys(data: bytes) -> np.ndarray:
     return unpack_sorted(data) if data else np.zeros(0, dtype=np.uint64)
 
 
-def word_counts(streams: DataFrame) -> DataFrame:
-    """(key, lang, word, f): occurrences of every word."""
+def word_totals(streams: DataFrame) -> DataFrame:
+    """(lang, n): all words of each language."""
+    return streams.select(F.explode(F.from_json(F.col("langs").cast("string"), "array<struct<lang string, n long>>")).alias("t")).groupBy(
+        F.col("t.lang").alias("lang")).agg(F.sum("t.n").alias("n")).where("n > 0")
+
+
+def frequent_keys(streams: DataFrame, least: int, ranges: int) -> DataFrame:
+    """(key, f) of words that occur at least `least` times. Counts travel packed: no row a word of a block."""
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys = _keys(r["keys"])
+                f = np.bincount(unpack(r["order"], "<u4"), minlength=len(keys) + 1)[:len(keys)]
+                yield _packed(keys, np.zeros_like(keys), f, ranges)
+
+    return _frequent(streams.select("keys", "order").mapInArrow(run, PACKED), least).select(F.col("first").alias("key"), "f")
+
+
+def _distinct(tables: list[pa.Table]) -> pa.Table:
+    whole = pa.concat_tables(tables)
+    return whole.group_by(whole.column_names).aggregate([])
+
+
+def spelled_words(streams: DataFrame, frequent: DataFrame, bitmap: np.ndarray, ranges: int) -> DataFrame:
+    """(key, lang, word, f) of the frequent keys, a row for every word that has one of them. A task sends a word
+    of many blocks once, as long as it holds at most MERGE_AT words, and its words in a row a range of keys."""
+    sent = streams.sparkSession.sparkContext.broadcast(bitmap)
+
+    def packs(table: pa.Table) -> pa.RecordBatch:
+        table = table.sort_by("key").combine_chunks()
+        # Keys are sorted as signed values: ranges of the signed order.
+        keys = table["key"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+        cuts = split_points(keys, ranges)
+        rows = []
+        for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if y > x:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as out:
+                    out.write_table(table.slice(x, y - x))
+                rows.append((i, zlib.compress(sink.getvalue(), 1)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["range", "words"])
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
             for r in batch.to_pylist():
-                keys, order = _keys(r["keys"]), unpack(r["order"], "<u4")
-                n, names = len(keys), json.loads(r["langs"])
-                f = np.bincount(order, minlength=n + 1)[:n].astype(np.int64)
-                offsets = np.zeros(n + 1, dtype=np.int32)
+                keys, names = _keys(r["keys"]), [t["lang"] for t in json.loads(r["langs"])]
+                offsets = np.zeros(len(keys) + 1, dtype=np.int32)
                 np.cumsum(np.frombuffer(r["sizes"], "<i4"), out=offsets[1:])
-                word = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(r["words"] or b""))
-                lang = pa.DictionaryArray.from_arrays(
-                    pa.array(np.frombuffer(r["lang"], "<u4").astype(np.int32)), pa.array(names, pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), lang.cast(pa.string()), word, pa.array(f)],
-                    names=["key", "lang", "word", "f"])
+                on = np.flatnonzero(_hits(sent.value, keys))
+                word = pa.StringArray.from_buffers(len(keys), pa.py_buffer(offsets), pa.py_buffer(r["words"] or b""))
+                lang = pa.array(names, pa.string()).take(pa.array(np.frombuffer(r["lang"], "<u4")[on]))
+                held.append(pa.table({"key": keys[on].view(np.int64), "lang": lang, "word": word.take(pa.array(on))}))
+            if sum(t.num_rows for t in held) > MERGE_AT:
+                held = [_distinct(held)]
+                if held[0].num_rows > MERGE_AT // 2:
+                    yield packs(held.pop())
+        if held:
+            yield packs(_distinct(held))
+
+    @lean
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["range"] != here and held:
+                    yield from _distinct(held).to_batches()
+                    held = []
+                here = r["range"]
+                held.append(pa.ipc.open_stream(zlib.decompress(r["words"])).read_all())
+                rows = sum(t.num_rows for t in held)
+                if rows > MERGE_AT and rows > 2 * held[0].num_rows:
+                    held = [_distinct(held)]
+        if held:
+            yield from _distinct(held).to_batches()
 
-    return streams.mapInArrow(run, "key long, lang string, word string, f long")
+    rows = streams.select("keys", "words", "sizes", "lang", "langs").mapInArrow(run, "range long, words binary")
+    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(
+        merged, "key long, lang string, word string").join(frequent, "key")
 
 
 def key_bitmap(words: DataFrame) -> np.ndarray:
@@ -200,13 +266,13 @@ def crowded_slots(streams: DataFrame, bitmap: np.ndarray, total: int, least: int
 
 
 def _packed(first: np.ndarray, second: np.ndarray, n: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """Counted pairs of 64-bit values as one row per hash range that gets any."""
+    """Counted pairs of 64-bit values, the first ones ascending, as one row per hash range that gets any."""
     with np.errstate(over="ignore"):
         hashed = mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
     part = ((hashed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-    rows = [(int(part[at[0]]), pack(first[at]), pack(second[at]), pack(n[at].astype("<i8")))
+    rows = [(int(part[at[0]]), pack_sorted(first[at]), pack(second[at]), pack(n[at].astype("<i8")))
             for at in np.split(order, cuts[1:]) if len(at)]
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)]],
@@ -239,7 +305,7 @@ def _frequent(packed: DataFrame, least: int) -> DataFrame:
                     yield enough(parts)
                     parts, held = [], 0
                 here = r["range"]
-                parts.append((unpack(r["first"], "<u8"), unpack(r["second"], "<u8"), unpack(r["f"], "<i8")))
+                parts.append((unpack_sorted(r["first"]), unpack(r["second"], "<u8"), unpack(r["f"], "<i8")))
                 held += len(parts[-1][0])
                 if held > MERGE_AT and len(parts) > 1 and held > 2 * len(parts[0][0]):
                     parts = [sums(parts)]
@@ -432,7 +498,7 @@ def _tries(phrases: DataFrame, k: int, most: int) -> Iterator[tuple[DoubleArray,
 
 def _extensions(streams: DataFrame, trie: DoubleArray, whole: bool, k: int, least: int, ranges: int) -> DataFrame:
     """(key0 .. key<k-1>, f) of windows of k words whose first k - 1 words are a phrase of the trie, at least `least`
-    times. Where the trie holds all phrases, the last k - 1 words must be one as well."""
+    times. Where the trie holds all phrases, the last k - 1 words must be one as well, and its last word travels as its code."""
     sent = streams.sparkSession.sparkContext.broadcast(trie)
 
     @lean
@@ -450,8 +516,10 @@ def _extensions(streams: DataFrame, trie: DoubleArray, whole: bool, k: int, leas
                 good = (at + k - 1 < len(order)) & (order[last] < len(keys))
                 if whole:
                     good &= dense[at + 1] >= 0
-                pairs, n = np.unique(states[good].astype(np.int64) << 32 | order[last[good]], return_counts=True)
-                yield _packed((pairs >> 32).astype(np.uint64), keys[pairs & 0xFFFFFFFF], n, ranges)
+                last = codes[last[good]] if whole else order[last[good]]
+                pairs, n = np.unique(states[good].astype(np.int64) << 32 | last, return_counts=True)
+                last = pairs & 0xFFFFFFFF
+                yield _packed((pairs >> 32).astype(np.uint64), last.astype(np.uint64) if whole else keys[last], n, ranges)
 
     @lean
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,8 +527,11 @@ def _extensions(streams: DataFrame, trie: DoubleArray, whole: bool, k: int, leas
         for batch in batches:
             paths = np.array([sent.value.words_of(x) for x in batch.column("first").to_pylist()], dtype=np.int64)
             paths = key_of[paths.reshape(batch.num_rows, k - 1)].view(np.int64)
+            last = batch.column("second")
+            if whole:
+                last = pa.array(key_of[last.to_numpy()].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(paths[:, i]) for i in range(k - 1)], batch.column("second"), batch.column("f")],
+                [*[pa.array(paths[:, i]) for i in range(k - 1)], last, batch.column("f")],
                 names=[*[f"key{i}" for i in range(k)], "f"])
 
     rows = _frequent(streams.select("keys", "order").mapInArrow(run, PACKED), least)
@@ -472,18 +543,21 @@ def _counted(streams: DataFrame, trie: DoubleArray, states: np.ndarray, names: d
     accepting = np.zeros(len(trie.base), dtype=bool)
     accepting[states] = True
     spelling = [("", "")] + [names[int(k)] for k in trie.key_by_code()[1:]]
-    sent = streams.sparkSession.sparkContext.broadcast((trie, accepting, spelling))
+    context = streams.sparkSession.sparkContext
+    sent, spelled = context.broadcast((trie, accepting)), context.broadcast(spelling)  # who counts needs no spelling
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, accept, _ = sent.value
-        total = np.zeros(len(here.base), dtype=np.int64)
+        here, accept = sent.value
+        place = np.where(accept, np.cumsum(accept, dtype=np.int32) - np.int32(1), np.int32(-1))
+        total = np.zeros(int(accept.sum()), dtype=np.int64)  # accepting states in their order
         for batch in batches:
             for r in batch.to_pylist():
                 codes = np.append(here.code_of(_keys(r["keys"])), np.int32(0))[unpack(r["order"], "<u4")]
-                for _, at in here.walk(codes, longest):
-                    total += np.bincount(at, minlength=len(total))
-        total = total[accept]  # accepting states in their order
+                for x in range(0, len(codes), WALKED):
+                    for at, states in here.walk(codes[x:x + WALKED + longest - 1], longest):
+                        own = place[states[at < WALKED]]  # later positions belong to the next slice
+                        total += np.bincount(own[own >= 0], minlength=len(total))
         chunks = [i for i in range(0, len(total), CHUNK) if total[i:i + CHUNK].any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([i // CHUNK for i in chunks], pa.int32()),
@@ -491,7 +565,7 @@ def _counted(streams: DataFrame, trie: DoubleArray, states: np.ndarray, names: d
 
     @lean
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, accept, spelling = sent.value
+        (here, accept), spelling = sent.value, spelled.value
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch["chunk"].tolist(), batch["counts"], strict=True):
@@ -518,19 +592,19 @@ def frequent_phrases(docs: DataFrame, settings: Settings | None = None) -> tuple
     """(lang, words array<string>, f) of all phrases of 1 to `longest` words with f >= least, and (lang, n): all words.
 
     Null text: no words; null language: `und`. Repeated rows count each. Two words of one language with the same
-    64-bit key would be counted as one; the frequent words' keys are checked, and a clash stops the job.
+    64-bit key would be counted as one; blocks' words with a frequent key are compared, and a clash stops the job.
     """
     settings = settings or Settings()
     streams = word_streams(docs)
-    counts = word_counts(streams)
-    totals = written(counts.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    words = written(counts.groupBy("key", "lang", "word").agg(F.sum("f").alias("f")).where(
-        F.col("f") >= settings.least), "words")
-    if words.groupBy("key").count().where("count > 1").limit(1).count():
-        raise ValueError("two frequent words share a 64-bit key")
+    totals = written(word_totals(streams), "totals")
     total = totals.agg(F.sum("n")).collect()[0][0] or 0
     ranges = max(1 << RANGE_BITS, total >> 19)  # grow with the corpus
-    levels = [written(frequent_pairs(streams, key_bitmap(words), total, settings.least, ranges), "pairs")]
+    frequent = written(frequent_keys(streams, settings.least, ranges), "frequent")
+    bitmap = key_bitmap(frequent)
+    words = written(spelled_words(streams, frequent, bitmap, max(1 << RANGE_BITS, total >> 24)), "words")
+    if words.groupBy("key").count().where("count > 1").limit(1).count():
+        raise ValueError("a frequent word shares its 64-bit key with another word")
+    levels = [written(frequent_pairs(streams, bitmap, total, settings.least, ranges), "pairs")]
     for k in range(3, settings.longest + 1):
         longer = [written(_extensions(streams, trie, whole, k, settings.least, ranges), f"phrases{k}")
                   for trie, _, whole in _tries(levels[-1], k - 1, settings.most)]
