@@ -141,7 +141,7 @@ def test_counts_of_words_travel_packed(spark, monkeypatch):
     """Blocks send their words' counts in a row per hash range, and only frequent words are spelled out."""
     monkeypatch.setattr(pt, "RANGE_BITS", 2)
     sent, keep = [], pt._frequent
-    monkeypatch.setattr(pt, "_frequent", lambda packed, least: (sent.append(packed.count()), keep(packed, least))[1])
+    monkeypatch.setattr(pt, "_frequent", lambda packed, *rest: (sent.append(packed.count()), keep(packed, *rest))[1])
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(3000)) + " a b" * 10, "en" if i % 2 else None, None, None) for i in range(4)]
     every, totals = pt.frequent_phrases(spark.createDataFrame(rows, SCHEMA).coalesce(1), pt.Settings(least=20, longest=2))
     assert sent[0] <= 4
@@ -165,3 +165,12 @@ def test_phrases_across_slices_count_once(spark, monkeypatch, walked):
     monkeypatch.setattr(pt, "WALKED", walked)
     docs = spark.createDataFrame([(1, "a b c d e f " * 30 + "a a a", "en", None, None)], SCHEMA)
     assert collect(pt.collocations(docs, pt.Settings(least=10))) == brute([(1, "a b c d e f " * 30 + "a a a", "en")], least=10)
+
+
+def test_one_python_step_a_stage(spark):
+    """Two in one stage would keep two Python workers for each core."""
+    streams = pt.word_streams(spark.createDataFrame([(1, "a b c " * 20, "en", None, None)], SCHEMA))
+    trie = pt.DoubleArray()
+    trie.learn(np.array([1, 2], dtype=np.uint64))
+    plan = pt._extensions(streams, trie, True, 3, 5, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Exchange") == 1

@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -279,9 +279,11 @@ def _packed(first: np.ndarray, second: np.ndarray, n: np.ndarray, ranges: int) -
         names=["range", "first", "second", "f"])
 
 
-def _frequent(packed: DataFrame, least: int) -> DataFrame:
-    """(first, second, f) of pairs whose counts sum to `least`. A range's task merges rows as they come and holds the
-    range's distinct pairs."""
+def _frequent(packed: DataFrame, least: int, schema: str = "first long, second long, f long",
+              finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """(first, second, f) of pairs whose counts sum to `least`, or what `finish` makes of them. A range's task merges
+    rows as they come and holds the range's distinct pairs. `finish` runs in the same worker: a Python step of its own
+    in this stage would keep two workers for each core."""
     def sums(parts: list[tuple]) -> tuple:
         first, second, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
         order = np.lexsort((second, first))
@@ -292,9 +294,10 @@ def _frequent(packed: DataFrame, least: int) -> DataFrame:
     def enough(parts: list[tuple]) -> pa.RecordBatch:
         first, second, n = sums(parts)
         on = n >= least
-        return pa.RecordBatch.from_arrays(
+        out = pa.RecordBatch.from_arrays(
             [pa.array(first[on].view(np.int64)), pa.array(second[on].view(np.int64)), pa.array(n[on])],
             names=["first", "second", "f"])
+        return finish(out) if finish else out
 
     @lean
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +316,7 @@ def _frequent(packed: DataFrame, least: int) -> DataFrame:
         if parts:
             yield enough(parts)
 
-    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(merged, "first long, second long, f long")
+    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(merged, schema)
 
 
 PACKED = "range long, first binary, second binary, f binary"
@@ -521,21 +524,19 @@ def _extensions(streams: DataFrame, trie: DoubleArray, whole: bool, k: int, leas
                 last = pairs & 0xFFFFFFFF
                 yield _packed((pairs >> 32).astype(np.uint64), last.astype(np.uint64) if whole else keys[last], n, ranges)
 
-    @lean
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spelled(batch: pa.RecordBatch) -> pa.RecordBatch:
         key_of = sent.value.key_by_code()
-        for batch in batches:
-            paths = np.array([sent.value.words_of(x) for x in batch.column("first").to_pylist()], dtype=np.int64)
-            paths = key_of[paths.reshape(batch.num_rows, k - 1)].view(np.int64)
-            last = batch.column("second")
-            if whole:
-                last = pa.array(key_of[last.to_numpy()].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(paths[:, i]) for i in range(k - 1)], last, batch.column("f")],
-                names=[*[f"key{i}" for i in range(k)], "f"])
-
-    rows = _frequent(streams.select("keys", "order").mapInArrow(run, PACKED), least)
-    return rows.mapInArrow(spelled, ", ".join(f"key{i} long" for i in range(k)) + ", f long")
+        paths = np.array([sent.value.words_of(x) for x in batch.column("first").to_pylist()], dtype=np.int64)
+        paths = key_of[paths.reshape(batch.num_rows, k - 1)].view(np.int64)
+        last = batch.column("second")
+        if whole:
+            last = pa.array(key_of[last.to_numpy()].view(np.int64))
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array(paths[:, i]) for i in range(k - 1)], last, batch.column("f")],
+            names=[*[f"key{i}" for i in range(k)], "f"])
+
+    schema = ", ".join(f"key{i} long" for i in range(k)) + ", f long"
+    return _frequent(streams.select("keys", "order").mapInArrow(run, PACKED), least, schema, spelled)
 
 
 def _counted(streams: DataFrame, trie: DoubleArray, states: np.ndarray, names: dict[int, tuple[str, str]], longest: int) -> DataFrame:
