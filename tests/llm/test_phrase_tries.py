@@ -174,3 +174,47 @@ def test_one_python_step_a_stage(spark):
     trie.learn(np.array([1, 2], dtype=np.uint64))
     plan = pt._extensions(streams, trie, True, 3, 5, 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 2 and plan.count("Exchange") == 1
+
+
+def test_a_tasks_blocks_add_up_before_they_travel(spark):
+    """A word, slot or pair of several blocks of one task is sent once, not once a block."""
+    fields = "keys binary, order binary, words binary, sizes binary, lang binary, langs binary"
+    made = [tuple(next(pt._stream(i, [i], ["a b c " * 10], ["en"]))[3:]) for i in range(5)]
+    streams = spark.createDataFrame(made, fields).coalesce(1)
+    packed, keep = [], pt._frequent
+    try:
+        pt._frequent = lambda frame, *rest: (packed.append(frame.collect()), keep(frame, *rest))[1]
+        found = pt.frequent_keys(streams, 50, 1)
+        pairs = pt.frequent_pairs(streams, pt.key_bitmap(found), 150, 45, 1)
+    finally:
+        pt._frequent = keep
+    assert [len(p) for p in packed] == [1, 1]
+    assert sorted(r["f"] for r in found.collect()) == [50, 50, 50]
+    assert sorted(r["f"] for r in pairs.collect()) == [45, 50, 50]
+
+
+@pytest.mark.parametrize("most", [1, 50, 10_000])
+def test_combined_counts_lose_nothing(most):
+    rng, want, parts = np.random.default_rng(4), Counter(), []
+    for size in (0, 30, 1, 200, 0, 90):
+        first, second, n = (rng.integers(0, 9, size) for _ in range(3))
+        parts.append((first.astype(np.uint64), second.astype(np.uint64), n))
+        for a, b, c in zip(first.tolist(), second.tolist(), n.tolist(), strict=True):
+            want[a, b] += c
+    found, rows = Counter(), 0
+    for first, second, n in pt._combined(parts, most):
+        assert list(zip(first, second, strict=True)) == sorted(set(zip(first, second, strict=True)))
+        rows += len(first)
+        for a, b, c in zip(first.tolist(), second.tolist(), n.tolist(), strict=True):
+            found[a, b] += c
+    assert found == want and (most < 10_000 or rows == len(want))
+
+
+def test_order_comes_back_and_is_smaller_than_its_values():
+    rng = np.random.default_rng(9)
+    for n, mark in ((0, 0), (1, 0), (40_000, 5_000)):
+        order = np.minimum(rng.zipf(1.3, n) - 1, mark).astype(np.int64)
+        order = rng.permutation(mark + 1)[order].astype("<u4")  # as by hash: frequency says nothing about the number
+        data = pt._pack_order(order, mark)
+        assert (pt._order(data) == order).all() and (pt._counts(data) == np.bincount(order, minlength=mark + 1)).all()
+    assert len(data) < 0.9 * len(pt.pack(order))

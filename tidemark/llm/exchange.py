@@ -166,10 +166,10 @@ def id_array(ids: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([0 if i is None else i for i in ids], dtype=np.int64), null
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+def written(frame: DataFrame, name: str, **options: str) -> DataFrame:
     """The frame written once as Parquet in the shared folder and read again: columns that a later pass does
     not use are not read by it. The files live as long as the folder, like checkpoints."""
     path = f"{shared_folder(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     # Small row groups: a writer holds one in memory, and rows may be packed blocks of megabytes.
-    frame.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
+    frame.write.options(**options).option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

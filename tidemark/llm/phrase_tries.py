@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,6 +60,27 @@ def _language_salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
+def _pack_order(order: np.ndarray, mark: int) -> bytes:
+    """Values 0..mark as ranks by their frequency, after the counts that tell them: common words get small numbers."""
+    f = np.bincount(order, minlength=mark + 1)
+    rank = np.empty(mark + 1, dtype="<u4")
+    rank[np.argsort(-f, kind="stable")] = np.arange(mark + 1, dtype="<u4")
+    counts, planes = pack(f.astype("<i8")), np.ascontiguousarray(rank[order].view(np.uint8).reshape(-1, 4).T)
+    return len(counts).to_bytes(8, "little") + len(order).to_bytes(8, "little") + counts + pa.Codec("zstd", 3).compress(planes, asbytes=True)
+
+
+def _counts(data: bytes) -> np.ndarray:
+    """How often each value 0..mark occurs."""
+    return unpack(data[16:16 + int.from_bytes(data[:8], "little")], "<i8")
+
+
+def _order(data: bytes) -> np.ndarray:
+    """The values as they were packed."""
+    begin, n = 16 + int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[begin:], 4 * n), dtype=np.uint8).reshape(4, n)
+    return np.argsort(-_counts(data), kind="stable")[np.ascontiguousarray(planes.T).view("<u4").ravel()]
+
+
 def _stream(block: int, ids: list, texts: list, langs: list) -> Iterator[tuple]:
     """One block: sorted keys of its distinct words, their bytes and languages, the words by position, and each
     language's number of words; after each piece's last word stands the number of distinct words."""
@@ -83,7 +104,7 @@ def _stream(block: int, ids: list, texts: list, langs: list) -> Iterator[tuple]:
     order = np.insert(order, last + 1, len(distinct)).astype("<u4")
     text = data.tobytes()
     words = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    yield row(0, block, 0, pack_sorted(distinct) if len(distinct) else b"", pack(order), b"".join(words),
+    yield row(0, block, 0, pack_sorted(distinct) if len(distinct) else b"", _pack_order(order, len(distinct)), b"".join(words),
               np.array([len(w) for w in words], dtype="<i4").tobytes(), lang_of[first].astype("<u4").tobytes(),
               json.dumps(totals).encode())
 
@@ -94,7 +115,7 @@ def word_streams(docs: DataFrame) -> DataFrame:
     frame = blocks(rows, _stream, "lang").select(
         F.col("f0").alias("keys"), F.col("f1").alias("order"), F.col("f2").alias("words"), F.col("f3").alias("sizes"),
         F.col("f4").alias("lang"), F.col("f5").alias("langs"))
-    return written(frame, "streams")
+    return written(frame, "streams", compression="zstd")
 
 
 def _keys(data: bytes) -> np.ndarray:
@@ -109,13 +130,16 @@ def word_totals(streams: DataFrame) -> DataFrame:
 
 def frequent_keys(streams: DataFrame, least: int, ranges: int) -> DataFrame:
     """(key, f) of words that occur at least `least` times. Counts travel packed: no row a word of a block."""
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for r in batch.to_pylist():
                 keys = _keys(r["keys"])
-                f = np.bincount(unpack(r["order"], "<u4"), minlength=len(keys) + 1)[:len(keys)]
-                yield _packed(keys, np.zeros_like(keys), f, ranges)
+                yield keys, np.zeros_like(keys), _counts(r["order"])[:len(keys)]
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _combined(counted(batches)):
+            yield _packed(*part, ranges)
 
     return _frequent(streams.select("keys", "order").mapInArrow(run, PACKED), least).select(F.col("first").alias("key"), "f")
 
@@ -204,7 +228,7 @@ def _hits(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _adjacent(r: dict, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a block, and the distinct adjacent pairs of frequent words in it with their counts."""
-    keys, order = _keys(r["keys"]), unpack(r["order"], "<u4").astype(np.int64)
+    keys, order = _keys(r["keys"]), _order(r["order"])
     good = np.append(_hits(bitmap, keys), False)[order]
     at = np.flatnonzero(good[:-1] & good[1:])
     pairs, n = np.unique(order[at] << 32 | order[at + 1], return_counts=True)
@@ -226,19 +250,23 @@ def crowded_slots(streams: DataFrame, bitmap: np.ndarray, total: int, least: int
     width = 1 << (bits - RANGE_BITS)
     sent = streams.sparkSession.sparkContext.broadcast(bitmap)
 
-    @lean
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for r in batch.to_pylist():
                 keys, a, b, n = _adjacent(r, sent.value)
-                slots, where = np.unique(_pair_slot(keys[a], keys[b], bits), return_inverse=True)
-                sums = np.minimum(np.bincount(where, weights=n, minlength=len(slots)), least).astype("<u4")
-                cuts = np.searchsorted(slots, np.arange((1 << RANGE_BITS) + 1) * width)
-                rows = [(i, pack(np.diff(slots[x:y], prepend=i * width).astype("<u4")), pack(sums[x:y]))
-                        for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]],
-                    names=["range", "steps", "counts"])
+                slots = _pair_slot(keys[a], keys[b], bits)
+                yield _sums([(slots, np.zeros_like(slots), n)])
+
+    @lean
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slots, _, n in _combined(counted(batches)):
+            sums = np.minimum(n, least).astype("<u4")
+            cuts = np.searchsorted(slots, np.arange((1 << RANGE_BITS) + 1) * width)
+            rows = [(i, pack(np.diff(slots[x:y], prepend=i * width).astype("<u4")), pack(sums[x:y]))
+                    for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]],
+                names=["range", "steps", "counts"])
 
     @lean
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +293,30 @@ def crowded_slots(streams: DataFrame, bitmap: np.ndarray, total: int, least: int
     return out, bits
 
 
+def _sums(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (first, second) of all parts, ascending, with their counts added up."""
+    first, second, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    if not len(first):
+        return first, second, n
+    order = np.lexsort((second, first))
+    first, second, n = first[order], second[order], n[order]
+    new = np.append(True, (np.diff(first) != 0) | (np.diff(second) != 0))
+    return first[new], second[new], np.add.reduceat(n, np.flatnonzero(new))
+
+
+def _combined(parts: Iterable[tuple], most: int = MERGE_AT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The counted pairs of a task's blocks added up before they travel, as long as at most `most` are held."""
+    held: list[tuple] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(p[0]) for p in held) > most:
+            held = [_sums(held)]
+            if len(held[0][0]) > most // 2:
+                yield held.pop()
+    if held:
+        yield _sums(held)
+
+
 def _packed(first: np.ndarray, second: np.ndarray, n: np.ndarray, ranges: int) -> pa.RecordBatch:
     """Counted pairs of 64-bit values, the first ones ascending, as one row per hash range that gets any."""
     with np.errstate(over="ignore"):
@@ -284,15 +336,8 @@ def _frequent(packed: DataFrame, least: int, schema: str = "first long, second l
     """(first, second, f) of pairs whose counts sum to `least`, or what `finish` makes of them. A range's task merges
     rows as they come and holds the range's distinct pairs. `finish` runs in the same worker: a Python step of its own
     in this stage would keep two workers for each core."""
-    def sums(parts: list[tuple]) -> tuple:
-        first, second, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        order = np.lexsort((second, first))
-        first, second, n = first[order], second[order], n[order]
-        new = np.append(True, (np.diff(first) != 0) | (np.diff(second) != 0))
-        return first[new], second[new], np.add.reduceat(n, np.flatnonzero(new))
-
     def enough(parts: list[tuple]) -> pa.RecordBatch:
-        first, second, n = sums(parts)
+        first, second, n = _sums(parts)
         on = n >= least
         out = pa.RecordBatch.from_arrays(
             [pa.array(first[on].view(np.int64)), pa.array(second[on].view(np.int64)), pa.array(n[on])],
@@ -311,7 +356,7 @@ def _frequent(packed: DataFrame, least: int, schema: str = "first long, second l
                 parts.append((unpack_sorted(r["first"]), unpack(r["second"], "<u8"), unpack(r["f"], "<i8")))
                 held += len(parts[-1][0])
                 if held > MERGE_AT and len(parts) > 1 and held > 2 * len(parts[0][0]):
-                    parts = [sums(parts)]
+                    parts = [_sums(parts)]
                     held = len(parts[0][0])
         if parts:
             yield enough(parts)
@@ -327,14 +372,18 @@ def frequent_pairs(streams: DataFrame, bitmap: np.ndarray, total: int, least: in
     crowded, bits = crowded_slots(streams, bitmap, total, least)
     sent = streams.sparkSession.sparkContext.broadcast((bitmap, crowded))
 
-    @lean
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for r in batch.to_pylist():
                 keys, a, b, n = _adjacent(r, sent.value[0])
                 slot = _pair_slot(keys[a], keys[b], bits)
                 on = (sent.value[1][slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
-                yield _packed(keys[a[on]], keys[b[on]], n[on], ranges)
+                yield keys[a[on]], keys[b[on]], n[on]
+
+    @lean
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _combined(counted(batches)):
+            yield _packed(*part, ranges)
 
     rows = _frequent(streams.select("keys", "order").mapInArrow(spread, PACKED), least)
     return rows.select(F.col("first").alias("key0"), F.col("second").alias("key1"), "f")
@@ -504,11 +553,10 @@ def _extensions(streams: DataFrame, trie: DoubleArray, whole: bool, k: int, leas
     times. Where the trie holds all phrases, the last k - 1 words must be one as well, and its last word travels as its code."""
     sent = streams.sparkSession.sparkContext.broadcast(trie)
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys, order = _keys(r["keys"]), unpack(r["order"], "<u4").astype(np.int64)
+                keys, order = _keys(r["keys"]), _order(r["order"])
                 here = sent.value
                 codes = np.append(here.code_of(keys), np.int32(0))[order]
                 for at, states in here.walk(codes, k - 1):
@@ -522,7 +570,12 @@ def _extensions(streams: DataFrame, trie: DoubleArray, whole: bool, k: int, leas
                 last = codes[last[good]] if whole else order[last[good]]
                 pairs, n = np.unique(states[good].astype(np.int64) << 32 | last, return_counts=True)
                 last = pairs & 0xFFFFFFFF
-                yield _packed((pairs >> 32).astype(np.uint64), last.astype(np.uint64) if whole else keys[last], n, ranges)
+                yield (pairs >> 32).astype(np.uint64), last.astype(np.uint64) if whole else keys[last], n
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _combined(counted(batches)):
+            yield _packed(*part, ranges)
 
     def spelled(batch: pa.RecordBatch) -> pa.RecordBatch:
         key_of = sent.value.key_by_code()
@@ -554,7 +607,7 @@ def _counted(streams: DataFrame, trie: DoubleArray, states: np.ndarray, names: d
         total = np.zeros(int(accept.sum()), dtype=np.int64)  # accepting states in their order
         for batch in batches:
             for r in batch.to_pylist():
-                codes = np.append(here.code_of(_keys(r["keys"])), np.int32(0))[unpack(r["order"], "<u4")]
+                codes = np.append(here.code_of(_keys(r["keys"])), np.int32(0))[_order(r["order"])]
                 for x in range(0, len(codes), WALKED):
                     for at, states in here.walk(codes[x:x + WALKED + longest - 1], longest):
                         own = place[states[at < WALKED]]  # later positions belong to the next slice
