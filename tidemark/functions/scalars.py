@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ SPACE = r"\s+"
 BLANKS = " \t\n\r\x0b\x0c"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, where `value` is evaluated once however often `use` names it.
+
+    A column named twice in an expression is evaluated twice, in nested ones many times, and the code
+    generated for it soon is a method too large for the JVM to compile. A lambda's variable holds a value.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_text(c: Column) -> Column:
     """Trimmed text; blank becomes null."""
     return F.nullif(F.btrim(c, F.lit(BLANKS)), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import clean_text
+from tidemark.functions.scalars import bound, clean_text
 
 # Layouts of provider timestamps beside ISO.
 COMPACT_SECONDS, COMPACT_MINUTES = "yyyyMMdd'T'HHmmss", "yyyyMMdd'T'HHmm"
@@ -15,29 +15,30 @@ HAS_ZONE = r"(Z|[+-]\d{2}:?\d{2}| GMT| UTC)$"
 
 
 def _mail(text: Column) -> Column:
-    body, zone = F.regexp_extract(text, MAIL_DATE, 1), F.regexp_extract(text, MAIL_DATE, 2)
-    offset = F.when(zone.rlike("^[+-]"), zone).otherwise("+0000")
+    body = F.regexp_extract(text, MAIL_DATE, 1)
+    offset = bound(F.regexp_extract(text, MAIL_DATE, 2), lambda zone: F.when(zone.rlike("^[+-]"), zone).otherwise("+0000"))
     return F.when(text.rlike(MAIL_DATE), F.try_to_timestamp(
         F.concat(body, F.lit(" "), offset), F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 def provider_timestamp(raw: Column) -> Column:
     """UTC timestamp of compact, ISO or mail-style text; naive values are UTC."""
-    text = clean_text(raw)
-    return F.coalesce(
+    return bound(clean_text(raw), lambda text: F.coalesce(
         F.when(F.length(text) == 15, F.try_to_timestamp(text, F.lit(COMPACT_SECONDS))),
         F.when(F.length(text) == 13, F.try_to_timestamp(text, F.lit(COMPACT_MINUTES))),
         _mail(text),
         text.try_cast("timestamp"),
-    )
+    ))
 
 
 def market_timestamp(raw: Column, timezone: str) -> Column:
     """UTC timestamp of text whose naive values are market-local."""
-    text = clean_text(raw)
-    naive = F.coalesce(F.try_to_timestamp(text, F.lit(EXCHANGE_DATE)), text.try_cast("timestamp"))
-    return F.when(text.rlike(HAS_ZONE), F.coalesce(_mail(text), text.try_cast("timestamp"))).otherwise(
-        F.to_utc_timestamp(naive, timezone))
+    def read(text: Column) -> Column:
+        naive = F.coalesce(F.try_to_timestamp(text, F.lit(EXCHANGE_DATE)), text.try_cast("timestamp"))
+        return F.when(text.rlike(HAS_ZONE), F.coalesce(_mail(text), text.try_cast("timestamp"))).otherwise(
+            F.to_utc_timestamp(naive, timezone))
+
+    return bound(clean_text(raw), read)
 
 
 def iso_utc(ts: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import clean_text, match_text
+from tidemark.functions.scalars import bound, clean_text, match_text
 from tidemark.functions.urls import validate_url
 from tidemark.settings import KEYS, IngestSettings
 
@@ -36,7 +36,7 @@ def with_terms(articles: DataFrame, catalog: DataFrame) -> DataFrame:
 def matches_scope(title: Column, snippet: Column, terms: Column) -> Column:
     """Whether any term occurs anywhere in title or snippet."""
     text = F.concat_ws(" ", match_text(title), match_text(snippet))
-    return F.coalesce(F.exists(terms, lambda t: F.contains(text, t)), F.lit(False))
+    return bound(text, lambda x: F.coalesce(F.exists(terms, lambda t: F.contains(x, t)), F.lit(False)))
 
 
 def whole_token_hits(text: Column, terms: Column) -> Column:
@@ -44,10 +44,13 @@ def whole_token_hits(text: Column, terms: Column) -> Column:
 
     The cheap containment test runs first, so the pattern is built for candidates only.
     """
-    def hit(t: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?<![a-z0-9])\Q"), t, F.lit(r"\E(?![a-z0-9])"))
-        return F.contains(text, t) & F.regexp_like(text, pattern)
-    return F.coalesce(F.size(F.filter(terms, hit)), F.lit(0))
+    def hits(x: Column) -> Column:
+        def hit(t: Column) -> Column:
+            pattern = F.concat(F.lit(r"(?<![a-z0-9])\Q"), t, F.lit(r"\E(?![a-z0-9])"))
+            return F.contains(x, t) & F.regexp_like(x, pattern)
+        return F.coalesce(F.size(F.filter(terms, hit)), F.lit(0))
+
+    return bound(text, hits)
 
 
 def payload_bonus(payload: Column, ticker: Column, company: Column) -> Column:
