@@ -173,16 +173,21 @@ def fallback_text(title: Column, snippet: Column) -> Column:
 
 def text_usability(text: Column, title: Column, snippet: Column, s: IngestSettings = IngestSettings()) -> Column:
     """Null when the fetched text is materially richer than title and snippet, else the reason."""
-    cleaned = clean_text(text)
-    candidate = match_text(cleaned)
-    baseline = match_text(F.when(snippet.isNotNull() & (snippet != ""), F.concat(
-        F.coalesce(title, F.lit("")), F.lit("\n\n"), snippet)).otherwise(F.coalesce(title, F.lit(""))))
-    return (
-        F.when(cleaned.isNull(), "no_article_text_found")
-        .when(F.length(cleaned) < s.full_text_min_chars, "article_text_below_min_chars")
-        .when((baseline != "") & (candidate == baseline), "article_text_matches_provider_text")
-        .when((baseline != "") & (F.length(candidate) < F.length(baseline) + s.richer_text_margin),
-              "article_text_not_materially_richer"))
+    provided = F.when(snippet.isNotNull() & (snippet != ""), F.concat(
+        F.coalesce(title, F.lit("")), F.lit("\n\n"), snippet)).otherwise(F.coalesce(title, F.lit("")))
+
+    def compared(p: Column) -> Column:
+        candidate, baseline = p["candidate"], p["baseline"]
+        return F.when((baseline != "") & (candidate == baseline), "article_text_matches_provider_text").when(
+            (baseline != "") & (F.length(candidate) < F.length(baseline) + s.richer_text_margin),
+            "article_text_not_materially_richer")
+
+    def judged(cleaned: Column) -> Column:
+        return F.when(cleaned.isNull(), "no_article_text_found").when(
+            F.length(cleaned) < s.full_text_min_chars, "article_text_below_min_chars").otherwise(
+            bound(F.struct(match_text(cleaned).alias("candidate"), match_text(provided).alias("baseline")), compared))
+
+    return bound(clean_text(text), judged)
 
 
 def acquire_text(articles: DataFrame, text: str, reason: str | None = None, s: IngestSettings = IngestSettings()) -> DataFrame:
@@ -191,6 +196,8 @@ def acquire_text(articles: DataFrame, text: str, reason: str | None = None, s: I
     `text` is the fetched article text; `reason` an optional column naming why it succeeded.
     """
     refused = text_usability(F.col(text), F.col("article_title"), F.col("summary_snippet"), s)
+    # A column of its own, since five others name it.
+    articles, refused = articles.withColumn("_refused", refused), F.col("_refused")
     usable = refused.isNull()
     has_snippet = clean_text(F.col("summary_snippet")).isNotNull()
     mode = F.when(usable, "full_article").when(has_snippet, "headline_plus_snippet").otherwise("headline_only")
@@ -201,7 +208,7 @@ def acquire_text(articles: DataFrame, text: str, reason: str | None = None, s: I
         "full_text": F.when(usable, clean_text(F.col(text))).otherwise(
             fallback_text(F.col("article_title"), F.col("summary_snippet"))),
     })
-    return out.withColumn("content_origin", content_origin(F.col("text_acquisition_mode")))
+    return out.withColumn("content_origin", content_origin(F.col("text_acquisition_mode"))).drop("_refused")
 
 
 def content_origin(mode: Column) -> Column:
