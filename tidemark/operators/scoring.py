@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
-from tidemark.functions.scalars import enum_text, literal_map, safe_text, to_bool
+from tidemark.functions.scalars import bound, enum_text, literal_map, safe_text, to_bool
 from tidemark.settings import KEYS, IngestSettings
 
 # Fields a scored response must have.
@@ -127,12 +127,12 @@ def with_first_json(responses: DataFrame, text: str = "response_text", name: str
     return responses.withColumn(name, F.when(F.contains(text, F.lit("{")), extract(F.col(text))))
 
 
-def _bounded(field: Column, name: str, low: float, high: float) -> tuple[Column, list[Column]]:
-    value = field.try_cast("double")
-    return value, [
+def _range_errors(value: Column, name: str, low: float, high: float) -> list[Column]:
+    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return [
         F.when(value.isNull(), f"{name}_not_numeric"),
-        F.when(F.isnan(value) | (F.abs(value) == float("inf")), f"{name}_not_finite"),
-        F.when(~F.isnan(value) & (F.abs(value) != float("inf")) & ~value.between(low, high), f"{name}_out_of_range"),
+        F.when(~finite, f"{name}_not_finite"),
+        F.when(finite & ~value.between(low, high), f"{name}_out_of_range"),
     ]
 
 
@@ -140,48 +140,51 @@ def validate_responses(rows: DataFrame, payload: str = "payload") -> DataFrame:
     """Check each response against its prepared article and attach the ordered error codes.
 
     `rows` holds the prepared article and the JSON object of its response. The result has
-    the response fields normalized, plus `errors`; rows with no errors are successes.
+    the response fields normalized, plus `errors`; rows with no errors are successes. Every
+    field is normalized once, and then compared.
     """
-    p = F.from_json(payload, "map<string,string>")
-    parsed = rows.withColumn("_p", p)
-
-    def got(name: str) -> Column:
-        return F.element_at("_p", F.lit(name))
-
-    missing = F.array_sort(F.filter(
-        F.array(*[F.lit(f) for f in RESPONSE_FIELDS]), lambda f: ~F.map_contains_key("_p", f)))
-    errors: list[Column] = [
-        F.when(F.upper(safe_text(got("ticker"))) != F.upper(safe_text(F.col("ticker"))), "ticker_mismatch"),
-        F.when(F.lower(safe_text(got("company_name"))) != F.lower(safe_text(F.col("company_name"))), "company_name_mismatch"),
-        F.when(enum_text(got("extraction_mode")) != F.col("extraction_mode"), "extraction_mode_mismatch"),
-    ]
-    quality, found = _bounded(got("content_quality_score"), "content_quality_score", 0.0, 1.0)
-    errors += found
-    errors.append(F.when(
-        quality.between(0.0, 1.0) & (F.abs(quality - F.col("content_quality_score")) > 1e-9), "content_quality_score_mismatch"))
-    flag = to_bool(got("warning_flag"))
-    errors += [F.when(flag.isNull(), "warning_flag_not_boolean"),
-               F.when(flag.isNull() | (flag != F.col("warning_flag")), "warning_flag_mismatch")]
     enums = {"sentiment_label": V.SENTIMENT_LABELS, "directional_bias": V.BIASES,
              "expected_horizon": V.HORIZONS, "event_type": V.EVENT_TYPES}
-    for name, allowed in enums.items():
-        errors.append(F.when(~enum_text(got(name)).isin(*allowed), f"unsupported_{name}"))
-    numbers = {}
-    for name in ("relevance_score", "sentiment_score", "event_severity", "confidence_score"):
-        numbers[name], found = _bounded(got(name), name, *V.SCORE_RANGES[name])
-        errors += found
-    errors.append(F.when(safe_text(got("rationale_short")) == "", "empty_rationale_short"))
-    listed = (
-        F.when(F.col("_p").isNull(), F.array(F.lit("no_json_object")))
-        .when(F.size(missing) > 0, F.array(F.concat(F.lit("missing_fields:"), F.array_join(missing, ","))))
-        .otherwise(F.array_compact(F.array(*errors))))
-    judged = parsed.withColumn("errors", listed)
+    numbers = ("relevance_score", "sentiment_score", "event_severity", "confidence_score")
+
+    def normalized(p: Column) -> Column:
+        def got(name: str) -> Column:
+            return F.element_at(p, F.lit(name))
+
+        missing = F.array_sort(F.filter(
+            F.array(*[F.lit(f) for f in RESPONSE_FIELDS]), lambda f: ~F.map_contains_key(p, f)))
+        return F.struct(
+            p.isNull().alias("absent"), F.when(p.isNotNull(), missing).alias("missing"),
+            F.upper(safe_text(got("ticker"))).alias("ticker"), F.lower(safe_text(got("company_name"))).alias("company_name"),
+            enum_text(got("extraction_mode")).alias("extraction_mode"), to_bool(got("warning_flag")).alias("warning_flag"),
+            safe_text(got("rationale_short")).alias("rationale_short"),
+            *[enum_text(got(name)).alias(name) for name in enums],
+            *[got(name).try_cast("double").alias(name) for name in ("content_quality_score", *numbers)])
+
+    def listed(v: Column) -> Column:
+        quality, flag = v["content_quality_score"], v["warning_flag"]
+        errors = [
+            F.when(v["ticker"] != F.upper(safe_text(F.col("ticker"))), "ticker_mismatch"),
+            F.when(v["company_name"] != F.lower(safe_text(F.col("company_name"))), "company_name_mismatch"),
+            F.when(v["extraction_mode"] != F.col("extraction_mode"), "extraction_mode_mismatch"),
+            *_range_errors(quality, "content_quality_score", 0.0, 1.0),
+            F.when(quality.between(0.0, 1.0) & (F.abs(quality - F.col("content_quality_score")) > 1e-9),
+                   "content_quality_score_mismatch"),
+            F.when(flag.isNull(), "warning_flag_not_boolean"),
+            F.when(flag.isNull() | (flag != F.col("warning_flag")), "warning_flag_mismatch"),
+            *[F.when(~v[name].isin(*allowed), f"unsupported_{name}") for name, allowed in enums.items()],
+            *[e for name in numbers for e in _range_errors(v[name], name, *V.SCORE_RANGES[name])],
+            F.when(v["rationale_short"] == "", "empty_rationale_short")]
+        return (
+            F.when(v["absent"], F.array(F.lit("no_json_object")))
+            .when(F.size(v["missing"]) > 0, F.array(F.concat(F.lit("missing_fields:"), F.array_join(v["missing"], ","))))
+            .otherwise(F.array_compact(F.array(*errors))))
+
+    read = rows.withColumn("_v", bound(F.from_json(payload, "map<string,string>"), normalized))
+    judged = read.withColumn("errors", bound(F.col("_v"), listed))
     fine = F.size("errors") == 0
     return judged.withColumns({
-        **{f"{name}": F.when(fine, enum_text(got(name))) for name in enums},
-        **{f"{name}": F.when(fine, value) for name, value in numbers.items()},
-        "rationale_short": F.when(fine, safe_text(got("rationale_short"))),
-    }).drop("_p")
+        name: F.when(fine, F.col(f"_v.{name}")) for name in (*enums, *numbers, "rationale_short")}).drop("_v")
 
 
 def cache_columns(rows: DataFrame) -> DataFrame:
