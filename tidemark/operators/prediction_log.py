@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,13 +87,17 @@ def closes(bars: DataFrame) -> DataFrame:
 def outcomes(log: DataFrame, bars: DataFrame) -> DataFrame:
     """Historical and prediction closes of each log row.
 
-    Two equi-joins with one bar per key and date; the bar side is small and unique, and
-    the adaptive join may split a hot instrument on the log side.
+    The closes are looked up once per pair of dates that an instrument's rows have, so the wide
+    log rows meet one table by one equi-join; the adaptive join may split a hot pair on the log side.
     """
     side = closes(bars)
     a = side.select(*KEYS, F.col("date").alias("historical_date"), F.col("close").alias("historical_close"))
     b = side.select(*KEYS, F.col("date").alias("prediction_date"), F.col("close").alias("prediction_close"))
-    return log.join(a, [*KEYS, "historical_date"], "left").join(b, [*KEYS, "prediction_date"], "left")
+    pair = [*KEYS, "historical_date", "prediction_date"]
+    pairs = log.select(*pair).distinct().join(a, [*KEYS, "historical_date"], "left").join(
+        b, [*KEYS, "prediction_date"], "left").withColumnsRenamed({c: f"_{c}" for c in pair})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in pair])
+    return log.join(pairs, same, "left").drop(*[f"_{c}" for c in pair])
 
 
 def backfill(log: DataFrame, bars: DataFrame, now: Column, due: Column | None = None,

@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.contracts import COPIES, duplicate_rule, with_copies
+
 _S, _I, _D, _B, _DT, _TS = "string", "int", "double", "boolean", "date", "timestamp"
 _PROBABILITIES = ("raw_predicted_probability_up", "calibrated_predicted_probability_up", "predicted_probability_up")
 
@@ -108,8 +110,6 @@ def append_run(rows: DataFrame, path: str, run_id: str) -> bool:
     if _is_committed(spark, path, run_id, "append"):
         return False
     new = _dated(rows)
-    identified = new.where("pilot_entry_id IS NOT NULL").dropDuplicates(["pilot_entry_id"])
-    new = identified.unionByName(new.where("pilot_entry_id IS NULL"))
     schema = f"{LOG_DDL}, prediction_month string"
     have = _stored(spark, lambda: spark.read.schema(schema).parquet(path), schema).select(
         "prediction_mode", "prediction_month", "pilot_entry_id")
@@ -117,7 +117,12 @@ def append_run(rows: DataFrame, path: str, run_id: str) -> bool:
     same_folder = (touched["prediction_mode"].eqNullSafe(have["prediction_mode"])
                    & touched["prediction_month"].eqNullSafe(have["prediction_month"]))
     known = have.join(touched, same_folder, "left_semi").select("pilot_entry_id")
-    new.join(known, "pilot_entry_id", "left_anti").write.mode("append").partitionBy("prediction_mode", "prediction_month").parquet(path)
+    # Known ids leave first: the rank of a copy then needs no shuffle of the wide rows beside the join's, and rows
+    # without an id take part in neither.
+    fresh = new.where("pilot_entry_id IS NOT NULL").join(known, "pilot_entry_id", "left_anti")
+    once = with_copies(fresh, ["pilot_entry_id"]).where(~duplicate_rule()).drop(COPIES)
+    once.unionByName(new.where("pilot_entry_id IS NULL")).write.mode("append").partitionBy(
+        "prediction_mode", "prediction_month").parquet(path)
     _commit(spark, path, run_id, "append")
     return True
 
